@@ -37,3 +37,19 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     The count stops reading once the bound is passed.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder, so that it isn't computed again.
+
+    The folder is the session's; a temporary one is set only where none is, as in tests.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="lociform-")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
