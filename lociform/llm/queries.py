@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociform.llm.cutoff import cutoff_report, keep_fraction
+from lociform.llm.leakage import leaked_passages
+from lociform.llm.packing import container_report, pack_documents
 from lociform.llm.sketch import merge_sketches, percentile_sketches, percentiles
 from lociform.llm.splitting import split_oversized
 from lociform.operators.sequences import with_sequence
@@ -131,3 +133,33 @@ select run_id, field_tag from v group by run_id, field_tag
 having (field_tag = 'DP' and (quantile_disc(v, 0.5) < 20 or quantile_disc(v, 0.5) > 60)) or (field_tag = 'QD' and quantile_disc(v, 0.1) < 18)
   or (field_tag = 'QUAL' and quantile_disc(v, 0.9) < 400)
 """
+
+# problem 7
+
+
+@query
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    return pack_documents(table(spark, d, "documents"), "doc_id", "text", capacity=2048).withColumnRenamed("ident", "doc_id")
+
+
+@query
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return container_report(pack_documents(table(spark, d, "documents"), "doc_id", "text", capacity=2048))
+
+
+# problem 8
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+@query
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    per = _leaks(spark, d).groupBy(F.col("item").alias("item_id"))
+    return per.agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_words").alias("longest"), F.min("doc").alias("first_doc"))
