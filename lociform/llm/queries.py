@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociform.llm import language
 from lociform.llm.cutoff import cutoff_report, keep_fraction
 from lociform.llm.leakage import leaked_passages
 from lociform.llm.packing import container_report, pack_documents
@@ -163,3 +164,26 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
     per = _leaks(spark, d).groupBy(F.col("item").alias("item_id"))
     return per.agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_words").alias("longest"), F.min("doc").alias("first_doc"))
+
+# problem 9
+
+
+def _language_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, language.Filters]:
+    docs, names = table(spark, d, "documents").select("doc_id", "text", "lang"), table(spark, d, "lang_names")
+    return docs, names, language.fit_filters(docs, table(spark, d, "lang_labels"), names)
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.relabelled(*_language_tables(spark, d))
+
+
+@query
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    return language.document_languages(*_language_tables(spark, d))
+
+
+@query
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    docs, _, filters = _language_tables(spark, d)
+    return language.segment_languages(docs, filters)
