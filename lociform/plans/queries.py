@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociform.operators import reject, wide
+from lociform.functions import codes, stats, vcf_math
+from lociform.operators import candidates, flanks, intervals, pileup, reads, reference, reject, vcf, vcf_filter, wide
 from lociform.operators.multivalue import info_entry, sample_field, split_fields
+from lociform.operators.sequences import with_sequence
 from lociform.plans.tables import table
 
 QUERIES = {}
@@ -106,3 +108,599 @@ with f as (
 i as (select source_table, row_id, field_tag, regexp_extract_all(t, '<[^<>]*>|[^,;|/\s"'']+') as items from f)
 select source_table, row_id, field_tag, unnest(range(1, len(items) + 1)) as item_no, unnest(items) as item from i where len(items) >= 2
 """
+
+# The caller on the given tables. Positions, bases and qualities of its observations come from
+# lineitem and part (a part is a position, a line item a base of a read that covers it).
+
+_OBSERVED = """
+with obs as (
+  select concat('chr', cast(floor(p.p_partkey / 100) as int)) as chrom, l.l_partkey as pos, p.p_size % 4 as ref_code,
+    case when l.l_partkey % 7 = 0 and l.l_orderkey % 2 = 0 then (p.p_size + 2) % 4 when l.l_partkey % 11 = 0 then (p.p_size + 1) % 4 else p.p_size % 4 end as code,
+    case when l.l_quantity > 20 then 4 when l.l_quantity > 17 then 3 when l.l_quantity > 13 then 2 when l.l_quantity > 10 then 1 else 0 end as weight,
+    l.l_linenumber % 2 = 1 as forward, l.l_orderkey, l.l_linenumber, l.l_suppkey
+  from lineitem l join part p on l.l_partkey = p.p_partkey where l.l_orderkey % 20 <> 0)
+"""
+_CLEAN = "replace(upper(regexp_replace(seq, '\\s+', '', 'g')), '.', 'N')"
+
+
+def observed(spark: SparkSession, d: str) -> DataFrame:
+    """Base observations: ``chrom, pos, ref_code, code, weight, forward`` and the line's keys."""
+    l, p = table(spark, d, "lineitem"), table(spark, d, "part")
+    rows = l.join(p, F.col("l_partkey") == F.col("p_partkey")).where("l_orderkey % 20 <> 0")
+    own = F.col("p_size") % 4
+    code = F.when((F.col("l_partkey") % 7 == 0) & (F.col("l_orderkey") % 2 == 0), (F.col("p_size") + 2) % 4)
+    return rows.select(
+        F.concat(F.lit("chr"), F.floor(F.col("p_partkey") / 100).cast("int")).alias("chrom"), F.col("l_partkey").alias("pos"), own.alias("ref_code"),
+        code.when(F.col("l_partkey") % 11 == 0, (F.col("p_size") + 1) % 4).otherwise(own).alias("code"),
+        codes.quality_weight(F.col("l_quantity")).alias("weight"), (F.col("l_linenumber") % 2 == 1).alias("forward"),
+        "l_orderkey", "l_linenumber", "l_suppkey",
+    )
+
+
+def observed_indels(spark: SparkSession, d: str) -> DataFrame:
+    rows = observed(spark, d).where("(pos % 13 = 0 and l_linenumber % 3 = 0) or pos % 17 = 0")
+    ins = (F.col("pos") % 13 == 0) & (F.col("l_linenumber") % 3 == 0)
+    size = F.when(ins, 1 + F.col("l_suppkey") % 3).otherwise(1 + F.col("l_linenumber") % 2).cast("int")
+    return rows.select("chrom", "pos", F.when(ins, "I").otherwise("D").alias("kind"), size.alias("length"), F.when(ins, F.repeat(F.lit("G"), size)).alias("seq"), "weight")
+
+
+def reference_bases(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    return p.select(F.concat(F.lit("chr"), F.floor(F.col("p_partkey") / 100).cast("int")).alias("chrom"), F.col("p_partkey").alias("pos"), (F.col("p_size") % 4).alias("ref_code"))
+
+
+_REFERENCE = "select concat('chr', cast(floor(p_partkey / 100) as int)) as chrom, p_partkey as pos, p_size % 4 as ref_code from part"
+
+
+@query
+def reads_usable(spark: SparkSession, d: str) -> DataFrame:
+    return reads.usable_reads(table(spark, d, "aligned_reads")).select("read_id", "forward", F.length("bases").alias("n_bases"))
+
+
+_USABLE = f"""
+with u as (
+  select * from (select read_id, chrom, pos, cigar, qual, {_CLEAN} as bases, coalesce(flag, 0) as flag, mapq from aligned_reads)
+  where coalesce(mapq, 0) >= 0 and chrom is not null and pos >= 1 and (flag & 1024) = 0 and bases not in ('', '*') and regexp_full_match(cigar, '([0-9]+[MIDNSHP=X])+')
+    and coalesce(list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[MIS]', 1), lambda x: cast(x as bigint))), 0) = length(bases)),
+o as (select read_id, unnest(range(1, len(regexp_extract_all(cigar, '[0-9]+')) + 1)) as k, cast(unnest(regexp_extract_all(cigar, '[0-9]+')) as bigint) as n,
+  unnest(regexp_extract_all(cigar, '[MIDNSHP=X]')) as op from u),
+w as (select *, coalesce(sum(case when op in ('M', 'I', 'S') then n end) over (partition by read_id order by k rows between unbounded preceding and 1 preceding), 0) as r,
+  coalesce(sum(case when op in ('M', 'D', 'N') then n end) over (partition by read_id order by k rows between unbounded preceding and 1 preceding), 0) as g from o)
+"""
+ORACLES["reads_usable"] = _USABLE + "select read_id, (flag & 16) = 0 as forward, length(bases) as n_bases from u"
+
+
+@query
+def reads_cigar_ops(spark: SparkSession, d: str) -> DataFrame:
+    ops = table(spark, d, "aligned_reads").select(F.inline(reads.cigar_ops(F.col("cigar"))))
+    return ops.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("bases"))
+
+
+ORACLES["reads_cigar_ops"] = """
+select op, count(*) as n, cast(sum(n) as bigint) as bases from (
+  select cast(unnest(regexp_extract_all(cigar, '[0-9]+')) as bigint) as n, unnest(regexp_extract_all(cigar, '[MIDNSHP=X]')) as op from aligned_reads
+  where regexp_full_match(cigar, '([0-9]+[MIDNSHP=X])+')) group by op
+"""
+
+
+@query
+def reads_pileup(spark: SparkSession, d: str) -> DataFrame:
+    piled = pileup.pileup(reads.aligned_bases(table(spark, d, "aligned_reads")))
+    return piled.select("chrom", "pos", *[F.col(x)[k].alias(f"{x}{k}") for x in "wfr" for k in range(4)])
+
+
+_WEIGHT = "case when q is null or q < 0 or q >= 128 then 0 when least(q, 40) > 20 then 4 when q > 17 then 3 when q > 13 then 2 when q > 10 then 1 else 0 end"
+ORACLES["reads_pileup"] = _USABLE + f"""
+, m as (select w.*, u.chrom, u.pos, u.bases, u.qual, u.flag, unnest(range(cast(greatest(r, 5) as bigint), cast(least(r + n, length(bases) - 5) as bigint))) as i from w join u using (read_id) where op = 'M'),
+b as (select chrom, pos + g + i - r as pos, substr(bases, cast(i + 1 as bigint), 1) as base, qual[cast(i + 1 as bigint)] as q, (flag & 16) = 0 as fwd from m),
+c as (select chrom, pos, case base when 'C' then 1 when 'G' then 2 when 'N' then 2 when 'T' then 3 else 0 end as code, {_WEIGHT} as weight, fwd from b)
+select chrom, cast(pos as bigint) as pos, """ + ", ".join(
+    [f"cast(coalesce(sum(weight) filter (code = {k}), 0) as bigint) as w{k}" for k in range(4)]
+    + [f"count(*) filter (code = {k} and fwd) as f{k}" for k in range(4)] + [f"count(*) filter (code = {k} and not fwd) as r{k}" for k in range(4)]
+) + " from c group by chrom, pos"
+
+
+@query
+def reads_indels(spark: SparkSession, d: str) -> DataFrame:
+    return pileup.indel_pileup(reads.read_indels(table(spark, d, "aligned_reads")))
+
+
+ORACLES["reads_indels"] = _USABLE + f"""
+, e as (select read_id, max(least(r + n, length(bases) - 5) - 1) as last_m from w join u using (read_id) where op = 'M' and least(r + n, length(bases) - 5) > greatest(r, 5) group by read_id),
+x as (select w.*, u.chrom, u.pos, u.bases, u.qual from w join u using (read_id) join e using (read_id)
+  where op in ('I', 'D') and n <= 255 and r <= last_m and r >= 5 and (op = 'D' or r + n < length(bases))),
+y as (select chrom, cast(pos + g as bigint) as pos, op as kind, cast(n as int) as length, case when op = 'I' then substr(bases, cast(r + 1 as bigint), n) end as seq,
+  list_transform(range(cast(r as bigint), cast(r + case when op = 'I' then n else 1 end as bigint)), lambda k: qual[k + 1]) as qs from x),
+z as (select *, list_sum(list_transform(qs, lambda q: {_WEIGHT})) // len(qs) > 1 as high from y)
+select chrom, pos, kind, length, seq, count(*) filter (high) as hq, count(*) filter (not high) as lq from z group by chrom, pos, kind, length, seq
+"""
+
+
+@query
+def reads_soft_clips(spark: SparkSession, d: str) -> DataFrame:
+    return pileup.clip_counts(reads.soft_clips(table(spark, d, "aligned_reads")))
+
+
+ORACLES["reads_soft_clips"] = _USABLE + """
+, s as (select chrom, cast(case when r > 0 then pos + g - 1 else pos + g end as bigint) as pos, r > 0 as later from w join u using (read_id) where op = 'S' and n >= 5)
+select chrom, pos, count(*) filter (later) as left_count, count(*) filter (not later) as right_count from s group by chrom, pos
+"""
+
+
+@query
+def reads_qc(spark: SparkSession, d: str) -> DataFrame:
+    return reads.alignment_qc(table(spark, d, "aligned_reads"))
+
+
+ORACLES["reads_qc"] = f"""
+with r as (select *, nullif(nullif({_CLEAN}, ''), '*') as bases from aligned_reads where (coalesce(flag, 0) & 1024) = 0),
+t as (select *, coalesce(list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)M', 1), lambda x: cast(x as bigint))), 0) as m,
+  chrom is null or coalesce(pos, 0) < 1 or cigar is null or cigar = '*' as unplaced from r)
+select count(*) as total_reads, count(*) filter (unplaced) as unaligned_reads, count(*) filter (cigar like '%S%' and regexp_matches(cigar, '[1-9][0-9]*S')) as softclipped_reads,
+  cast(sum(length(bases)) as bigint) as total_read_length, cast(sum(m) filter (not unplaced) as bigint) as total_aligned_length, cast(null as bigint) as target_aligned_length from t
+"""
+
+
+@query
+def pileup_base(spark: SparkSession, d: str) -> DataFrame:
+    piled = pileup.site_totals(pileup.pileup(observed(spark, d)))
+    arrays = [F.col(x)[k].alias(f"{x}{k}") for x in "wfr" for k in range(4)]
+    return piled.select("chrom", "pos", *arrays, "weight", "forward", "reverse", "gc", "g", "is_saturated")
+
+
+_PILED = _OBSERVED + ", piled as (select chrom, pos, " + ", ".join(
+    [f"cast(coalesce(sum(weight) filter (code = {k}), 0) as bigint) as w{k}" for k in range(4)]
+    + [f"count(*) filter (code = {k} and forward) as f{k}" for k in range(4)] + [f"count(*) filter (code = {k} and not forward) as r{k}" for k in range(4)]
+) + ", cast(sum(weight) as bigint) as weight, count(*) filter (forward) as forward, count(*) filter (not forward) as reverse, max(case when code in (1, 2) then 1 else 0 end) as gc, max(case when code = 2 then 1 else 0 end) as g from obs group by chrom, pos)"
+ORACLES["pileup_base"] = _PILED + " select *, greatest(f0, f1, f2, f3, r0, r1, r2, r3) >= 65532 or greatest(w0, w1, w2, w3) >= 65535 as is_saturated from piled"
+
+
+@query
+def pileup_retracted(spark: SparkSession, d: str) -> DataFrame:
+    """Pileup after taking back the observations of open orders' first lines."""
+    rows = observed(spark, d).select("chrom", "pos", "code", "weight", "forward", "l_linenumber")
+    left = pileup.retract(rows.drop("l_linenumber"), rows.where("l_linenumber = 1").drop("l_linenumber"))
+    return left.select("chrom", "pos", *[F.col(x)[k].alias(f"{x}{k}") for x in "wfr" for k in range(4)])
+
+
+ORACLES["pileup_retracted"] = _OBSERVED.replace("where l.l_orderkey % 20 <> 0", "where l.l_orderkey % 20 <> 0 and l.l_linenumber <> 1") + "select chrom, pos, " + ", ".join(
+    [f"cast(coalesce(sum(weight) filter (code = {k}), 0) as bigint) as w{k}" for k in range(4)]
+    + [f"count(*) filter (code = {k} and forward) as f{k}" for k in range(4)] + [f"count(*) filter (code = {k} and not forward) as r{k}" for k in range(4)]
+) + " from obs group by chrom, pos"
+
+_INDELS = _OBSERVED + """
+, ind as (select chrom, pos, case when pos % 13 = 0 and l_linenumber % 3 = 0 then 'I' else 'D' end as kind,
+    cast(case when pos % 13 = 0 and l_linenumber % 3 = 0 then 1 + l_suppkey % 3 else 1 + l_linenumber % 2 end as int) as length, weight
+  from obs where (pos % 13 = 0 and l_linenumber % 3 = 0) or pos % 17 = 0),
+cnt as (select chrom, pos, kind, length, case when kind = 'I' then repeat('G', length) end as seq, count(*) filter (weight > 1) as hq, count(*) filter (weight <= 1) as lq
+  from ind group by chrom, pos, kind, length)
+"""
+
+
+@query
+def pileup_indels(spark: SparkSession, d: str) -> DataFrame:
+    return pileup.indel_pileup(observed_indels(spark, d))
+
+
+ORACLES["pileup_indels"] = _INDELS + "select * from cnt"
+
+
+@query
+def pileup_top_indels(spark: SparkSession, d: str) -> DataFrame:
+    top = pileup.top_indels(pileup.indel_pileup(observed_indels(spark, d)))
+    return top.select("chrom", "pos", "total_hq", "total_lq", F.posexplode("indels").alias("place", "x")).select("chrom", "pos", "total_hq", "total_lq", "place", "x.*")
+
+
+ORACLES["pileup_top_indels"] = _INDELS + """
+, a as (select chrom, greatest(pos - 1, 1) as pos, kind, length, seq, hq, lq from cnt),
+k as (select *, row_number() over (partition by chrom, pos order by hq + lq desc, kind desc, length, seq) - 1 as place,
+  sum(hq) over (partition by chrom, pos) as th, sum(lq) over (partition by chrom, pos) as tl from a)
+select chrom, pos, cast(th as bigint) as total_hq, cast(tl as bigint) as total_lq, cast(place as int) as place, kind, length, seq, hq, lq from k where place < 2
+"""
+
+
+@query
+def pileup_support(spark: SparkSession, d: str) -> DataFrame:
+    return pileup.position_support(pileup.pileup(observed(spark, d)), pileup.indel_pileup(observed_indels(spark, d)))
+
+
+ORACLES["pileup_support"] = _INDELS + """
+select chrom, pos, cast(sum(n) as bigint) as support from (
+  select chrom, pos, count(*) as n from obs group by chrom, pos union all select chrom, pos, hq + lq from cnt where kind = 'D') group by chrom, pos
+"""
+
+
+@query
+def pileup_info(spark: SparkSession, d: str) -> DataFrame:
+    info = pileup.position_info(pileup.pileup(observed(spark, d)), pileup.indel_pileup(observed_indels(spark, d)))
+    return info.select("chrom", "pos", F.col("w")[0].alias("w0"), F.coalesce(F.size("indels"), F.lit(0)).alias("n_indels"), F.col("indels")[0]["kind"].alias("kind"), F.col("indels")[0]["length"].alias("length"))
+
+
+ORACLES["pileup_info"] = _INDELS + """
+, p as (select chrom, pos, cast(coalesce(sum(weight) filter (code = 0), 0) as bigint) as w0 from obs group by chrom, pos),
+i as (select chrom, pos, count(*) as n, first(kind order by hq + lq desc, kind, length) as kind, first(length order by hq + lq desc, kind, length) as length from cnt group by chrom, pos)
+select p.chrom, p.pos, w0, cast(coalesce(n, 0) as int) as n_indels, kind, length from p left join i on p.chrom = i.chrom and p.pos = i.pos
+"""
+
+
+@query
+def pileup_depth_histogram(spark: SparkSession, d: str) -> DataFrame:
+    share = F.col("forward") / (F.col("forward") + F.col("reverse"))
+    return pileup.share_histogram(pileup.site_totals(pileup.pileup(observed(spark, d))), share)
+
+
+ORACLES["pileup_depth_histogram"] = _PILED + " select cast(floor(forward / (forward + reverse) * 100 + 0.4999) as int) as bin, count(*) as n from piled group by bin"
+
+
+@query
+def pileup_coverage(spark: SparkSession, d: str) -> DataFrame:
+    lengths = reference_bases(spark, d).groupBy("chrom").agg(F.count(F.lit(1)).alias("length"))
+    return pileup.coverage(pileup.pileup(observed(spark, d)), lengths)
+
+
+ORACLES["pileup_coverage"] = _PILED + f"""
+, n as (select chrom, count(*) as length from ({_REFERENCE}) group by chrom), c as (select chrom, count(*) as covered from piled group by chrom)
+select n.chrom, coalesce(covered, 0) as covered, length, coalesce(covered, 0) / length < 0.1 as is_sparse from n left join c on n.chrom = c.chrom
+"""
+
+# regions
+
+
+def _regions(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    start = F.col("o_custkey") * 10 + F.col("o_orderkey") % 100
+    rows = o.select(F.concat(F.lit("chr"), (F.col("o_custkey") % 5).cast("string")).alias("chrom"), start.alias("start"), (start + 1 + F.floor("o_totalprice") % 15).alias("end"))
+    return intervals.normalised(rows, "bed")
+
+
+_REGIONS = """
+with g as (select concat('chr', cast(o_custkey % 5 as varchar)) as chrom, o_custkey * 10 + o_orderkey % 100 as s, cast(floor(o_totalprice) as bigint) % 15 as k from orders),
+reg as (select chrom, s + 1 as a, s + k + 2 as b from g),
+f as (select *, max(b) over (partition by chrom order by a, b rows between unbounded preceding and 1 preceding) as reach from reg),
+h as (select *, sum(case when reach is null or a >= reach then 1 else 0 end) over (partition by chrom order by a, b rows unbounded preceding) as grp from f),
+mer as (select chrom, min(a) as a, max(b) as b from h group by chrom, grp)
+"""
+
+
+@query
+def regions_merged(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.merged(_regions(spark, d), tile=1 << 12).withColumnsRenamed({"start": "first_pos", "end": "end_pos"})
+
+
+ORACLES["regions_merged"] = _REGIONS + "select chrom, a as first_pos, b as end_pos from mer"
+
+
+@query
+def regions_margin(spark: SparkSession, d: str) -> DataFrame:
+    wide = intervals.with_margin(_regions(spark, d), 3)
+    return wide.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("positions"))
+
+
+ORACLES["regions_margin"] = _REGIONS.replace("s + 1 as a, s + k + 2 as b", "greatest(s + 1 - 3, 1) as a, s + k + 2 + 3 as b") + "select chrom, count(*) as n, cast(sum(b - a) as bigint) as positions from mer group by chrom"
+
+
+@query
+def regions_clipped(spark: SparkSession, d: str) -> DataFrame:
+    lengths = _regions(spark, d).groupBy("chrom").agg(F.floor(F.max("end") * 0.9).alias("length"))
+    cut = intervals.clipped(_regions(spark, d), lengths)
+    return cut.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("positions"), F.max("end").alias("last"))
+
+
+ORACLES["regions_clipped"] = _REGIONS + """
+, n as (select chrom, cast(floor(max(b) * 0.9) as bigint) as length from reg group by chrom),
+c as (select r.chrom, greatest(a, 1) as a, least(b, length + 1) as b from reg r join n on r.chrom = n.chrom)
+select chrom, count(*) as n, cast(sum(b - a) as bigint) as positions, max(b) as last from c where a < b group by chrom
+"""
+
+
+@query
+def regions_restrict(spark: SparkSession, d: str) -> DataFrame:
+    """Pileup positions that lie in any region of their sequence."""
+    p = table(spark, d, "part").select(F.concat(F.lit("chr"), (F.col("p_partkey") % 5).cast("string")).alias("chrom"), F.col("p_partkey").alias("pos"), "p_brand")
+    return intervals.points_in_regions(p, _regions(spark, d), size=256)
+
+
+ORACLES["regions_restrict"] = _REGIONS + """
+select chrom, pos, p_brand from (select concat('chr', cast(p_partkey % 5 as varchar)) as chrom, p_partkey as pos, p_brand from part) p
+where exists (select 1 from mer where mer.chrom = p.chrom and p.pos >= a and p.pos < b)
+"""
+
+
+@query
+def regions_soft_clips(spark: SparkSession, d: str) -> DataFrame:
+    """Soft clips that lie within the margin of a call's position, both ends included."""
+    clips = pileup.clip_counts(reads.soft_clips(table(spark, d, "aligned_reads")))
+    calls = with_sequence(table(spark, d, "vcf").select("chrom", "pos"), table(spark, d, "seq_dict"))
+    near = intervals.normalised(calls.select(F.col("seq_name").alias("chrom"), (F.col("pos") - 1001).alias("start"), (F.col("pos") + 999).alias("end")))
+    return intervals.points_in_regions(clips, near)
+
+
+ORACLES["regions_soft_clips"] = ORACLES["reads_soft_clips"].replace("select chrom, pos, count", "\n, q as (select chrom, pos, count") + """)
+select * from q where exists (select 1 from vcf v join seq_dict s on lower(trim(v.chrom)) in (lower(trim(s.chrom)), lower(trim(s.short_name)))
+  where s.chrom = q.chrom and q.pos >= v.pos - 1000 and q.pos < v.pos + 1000)
+"""
+
+# the model
+
+
+@query
+def bias_by_base(spark: SparkSession, d: str) -> DataFrame:
+    piled = pileup.pileup(observed(spark, d)).select("chrom", "pos", stats.strand_bias("f", "r").alias("s"), stats.base_quality_bias("w", "f", "r").alias("q"))
+    each = F.arrays_zip("s", "q")
+    return piled.select("chrom", "pos", F.posexplode(each).alias("code", "x")).select("chrom", "pos", "code", F.round("x.s", 6).alias("sb"), F.round("x.q", 6).alias("bqb"))
+
+
+def _fisher_sql(a: str, b: str, c: str, d: str, keep: str) -> str:
+    """SQL of the two-tailed test of a 2 x 2 table; ``keep`` compares p with the observed table's own."""
+    ln = lambda x: f"lgamma({x} + 1)"
+    row, col, n = f"({a} + {b})", f"({a} + {c})", f"({a} + {b} + {c} + {d})"
+    p = lambda x: f"exp({ln(row)} + {ln(f'{n} - {row}')} + {ln(col)} + {ln(f'{n} - {col}')} - {ln(n)} - {ln(x)} - {ln(f'{row} - {x}')} - {ln(f'{col} - {x}')} - {ln(f'{n} - {row} - {col} + {x}')})"
+    support = f"range(greatest(0, {row} + {col} - {n}), least({row}, {col}) + 1)"
+    rest = f"list_filter(list_transform(list_filter({support}, lambda x: x <> {a}), lambda x: {p('x')}), lambda p: p < {p(a)} * {keep})"
+    return f"case when {n} = 0 then 1.0 else coalesce(list_sum({rest}), 0) + {p(a)} end"
+
+
+ORACLES["bias_by_base"] = (
+    _PILED
+    + ", l as (" + " union all ".join(f"select chrom, pos, {k} as code, w{k} as w, f{k} as f, r{k} as r from piled" for k in range(4)) + ")"
+    + f" select chrom, pos, cast(code as int) as code, round(least(1.0, {_fisher_sql('f', 'r', '((f + r) // 2)', '((f + r) // 2)', '(1 - 1e-7)')}), 6) as sb,"
+    + f" round(least(1.0, {_fisher_sql('w', '(4 * (f + r))', '(4 * (f + r))', '(4 * (f + r))', '(1 - 1e-7)')}), 6) as bqb from l"
+)
+
+
+@query
+def fisher_tails(spark: SparkSession, d: str) -> DataFrame:
+    """All tails of strand by allele for every position: reference against other bases."""
+    rows = observed(spark, d).groupBy("chrom", "pos").agg(*[
+        F.count_if((F.col("code") == F.col("ref_code")) & F.col("forward")).alias("a"), F.count_if((F.col("code") == F.col("ref_code")) & ~F.col("forward")).alias("b"),
+        F.count_if((F.col("code") != F.col("ref_code")) & F.col("forward")).alias("c"), F.count_if((F.col("code") != F.col("ref_code")) & ~F.col("forward")).alias("d"),
+    ])
+    x = rows.withColumn("t", stats.fisher_all("a", "b", "c", "d"))
+    return x.select("chrom", "pos", *[F.round(f"t.{k}", 6).alias(f"p_{k}") for k in ("two", "below")], F.round(stats.ln_binomial(F.col("a") + F.col("b"), F.col("a")), 6).alias("ln_ways"), F.round(stats.chi2_yates(*map(F.col, "abcd")), 6).alias("distance"), F.round(stats.chi2_density(1, F.col("a") / 10 + 0.1), 6).alias("density"))
+
+
+_CHI = lambda cell, row, col: f"case when ({row}) * ({col}) > 0 then power(abs({cell} - ({row}) * ({col}) / (a + b + c + d)) - 0.5, 2) / (({row}) * ({col}) / (a + b + c + d)) else 0 end"
+ORACLES["fisher_tails"] = _OBSERVED + f"""
+, t as (select chrom, pos, count(*) filter (code = ref_code and forward) as a, count(*) filter (code = ref_code and not forward) as b,
+  count(*) filter (code <> ref_code and forward) as c, count(*) filter (code <> ref_code and not forward) as d from obs group by chrom, pos)
+select chrom, pos, round({_fisher_sql('a', 'b', 'c', 'd', '(1 + 1e-9)')}, 6) as p_two, round({_fisher_sql('a', 'b', 'c', 'd', '(1 - 1e-7)')}, 6) as p_below,
+  round(lgamma(a + b + 1) - lgamma(a + 1) - lgamma(b + 1), 6) as ln_ways, round({_CHI('a', 'a + b', 'a + c')} + {_CHI('b', 'a + b', 'b + d')} + {_CHI('c', 'c + d', 'a + c')} + {_CHI('d', 'c + d', 'b + d')}, 6) as distance,
+  round(least(1, exp(-(a / 10 + 0.1) / 2) / sqrt(2 * pi() * (a / 10 + 0.1))), 6) as density from t
+"""
+
+
+@query
+def genotype_names(spark: SparkSession, d: str) -> DataFrame:
+    rows = observed(spark, d).groupBy("ref_code", "code").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("ref_code", "code", codes.genotype_code(F.col("ref_code"), F.col("code")).alias("genotype"), "n")
+
+
+ORACLES["genotype_names"] = _OBSERVED + "select ref_code, code, cast(4 * least(ref_code, code) - least(ref_code, code) * (least(ref_code, code) - 1) / 2 + greatest(ref_code, code) - least(ref_code, code) as int) as genotype, count(*) as n from obs group by ref_code, code"
+
+
+def _called_sites(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    piled = pileup.pileup(observed(spark, d))
+    top = pileup.top_indels(pileup.indel_pileup(observed_indels(spark, d)))
+    return piled, top, reference.chunks_of_bases(reference_bases(spark, d))
+
+
+@query
+def genotype_calls(spark: SparkSession, d: str) -> DataFrame:
+    calls = candidates.genotyped(candidates.sites(*_called_sites(spark, d)))
+    digits = lambda c: F.format_string("%.6e", c)
+    return calls.select("chrom", "pos", "ref", "gt", digits(F.col("best_p")).alias("best_p"), digits(F.col("second_p")).alias("second_p"), digits(F.col("p_d")).alias("p_d"))
+
+
+@query
+def genotype_unbacked(spark: SparkSession, d: str) -> DataFrame:
+    """Indel calls without an indel; none are expected."""
+    calls = candidates.unbacked_calls(candidates.genotyped(candidates.sites(*_called_sites(spark, d))))
+    return calls.agg(F.count(F.lit(1)).alias("n"))
+
+
+ORACLES["genotype_unbacked"] = "select 0 as n from (select count(*) from lineitem)"
+
+
+def _enriched(spark: SparkSession, d: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    piled, top, chunks = _called_sites(spark, d)
+    found = candidates.candidates(piled, top, chunks)
+    return candidates.enriched(found, piled, reference.base_runs(reference_bases(spark, d)), strict), chunks
+
+
+@query
+def candidate_lines(spark: SparkSession, d: str) -> DataFrame:
+    return candidates.tsv_rows(_enriched(spark, d)[0])
+
+
+@query
+def candidate_vcf(spark: SparkSession, d: str) -> DataFrame:
+    return vcf.to_vcf(*_enriched(spark, d))
+
+
+def _flanks(spark: SparkSession, d: str, strict: bool) -> DataFrame:
+    totals = pileup.site_totals(pileup.pileup(observed(spark, d)))
+    sites = totals.select("chrom", "pos", (F.col("pos") % 3).alias("skip"))
+    out = flanks.flank_metrics(sites, totals, strict)
+    return out.select("chrom", "pos", "skip", *[F.round(c, 6).alias(c) for c in ("read_pos_bias", "left_gc", "right_gc", "depth_balance", "left_quality", "right_quality")], "left_g", "right_g")
+
+
+@query
+def flank_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return _flanks(spark, d, False)
+
+
+@query
+def flank_metrics_strict(spark: SparkSession, d: str) -> DataFrame:
+    return _flanks(spark, d, True)
+
+
+def _flanks_sql(shift: int) -> str:
+    left = f"p.pos >= n.pos - 100 - {shift} and p.pos < n.pos - {shift}"
+    right = f"p.pos >= n.pos + n.skip - {shift} and p.pos < n.pos + n.skip + 100 - {shift}"
+    tight = f"p.pos >= n.pos - 3 - {shift} and p.pos < n.pos - {shift}", f"p.pos >= n.pos + n.skip - {shift} and p.pos < n.pos + n.skip + 3 - {shift}"
+    sums = ", ".join(f"coalesce(sum(p.{c}) filter ({w}), 0) as {s}_{c}" for s, w in (("l", left), ("r", right)) for c in ("depth", "weight", "gc", "delta"))
+    ratio = lambda a, b: f"case when {a} + {b} > 0 then ({a} - {b}) / ({a} + {b}) else 0 end"
+    mean = lambda s, c: f"case when {s}_n > 0 then {s}_{c} / {s}_n else 0 end"
+    return _PILED + f"""
+, base as (select chrom, pos, forward + reverse as depth, weight, gc, g from piled),
+every as (select chrom, pos from base union select chrom, pos - 1 from base),
+pos as (select e.chrom, e.pos, coalesce(b.depth, 0) as depth, coalesce(b.weight, 0) as weight, coalesce(b.gc, 0) as gc, coalesce(b.g, 0) as g, abs(coalesce(b.depth, 0) - coalesce(c.depth, 0)) as delta
+  from every e left join base b on e.chrom = b.chrom and e.pos = b.pos left join base c on e.chrom = c.chrom and e.pos + 1 = c.pos),
+n as (select chrom, pos, pos % 3 as skip from base),
+s as (select n.chrom, n.pos, n.skip, {sums}, coalesce(sum(p.g) filter ({tight[0]}), 0) as l_g, coalesce(sum(p.g) filter ({tight[1]}), 0) as r_g,
+  100 - least(greatest(1 - (n.pos - 100 - {shift}), 0), 100) as l_n, 100 - least(greatest(1 - (n.pos + n.skip - {shift}), 0), 100) as r_n
+  from n left join pos p on n.chrom = p.chrom and p.pos between n.pos - 300 and n.pos + 300 group by n.chrom, n.pos, n.skip)
+select chrom, pos, skip, round({ratio('l_delta', 'r_delta')}, 6) as read_pos_bias, round({mean('l', 'gc')}, 6) as left_gc, round({mean('r', 'gc')}, 6) as right_gc,
+  round({ratio('(' + mean('l', 'depth') + ')', '(' + mean('r', 'depth') + ')')}, 6) as depth_balance, round(case when l_depth > 0 then l_weight / l_depth else 0 end, 6) as left_quality,
+  round(case when r_depth > 0 then r_weight / r_depth else 0 end, 6) as right_quality, cast(l_g as int) as left_g, cast(r_g as int) as right_g from s
+"""
+
+
+ORACLES["flank_metrics"] = _flanks_sql(0)
+ORACLES["flank_metrics_strict"] = _flanks_sql(100)
+
+
+@query
+def reference_runs(spark: SparkSession, d: str) -> DataFrame:
+    return reference.base_runs(reference_bases(spark, d), tile=64).withColumnsRenamed({"start": "first_pos", "end": "end_pos"})
+
+
+ORACLES["reference_runs"] = f"""
+with b as ({_REFERENCE}), k as (select *, pos - row_number() over (partition by chrom, ref_code order by pos) as grp from b)
+select chrom, min(pos) as first_pos, max(pos) + 1 as end_pos, ref_code from k group by chrom, ref_code, grp
+"""
+
+
+@query
+def reference_previous(spark: SparkSession, d: str) -> DataFrame:
+    return reference.previous_base(reference_bases(spark, d))
+
+
+ORACLES["reference_previous"] = f"""
+with b as ({_REFERENCE}) select b.chrom, b.pos, b.ref_code, coalesce(c.ref_code, 4) as pre_code from b left join b c on b.chrom = c.chrom and b.pos = c.pos + 1
+"""
+
+
+@query
+def reference_check(spark: SparkSession, d: str) -> DataFrame:
+    """Observed bases that the reference chunks hold at their position, and the base after it."""
+    chunks = reference.chunks_of_bases(reference_bases(spark, d))
+    seen = observed(spark, d).groupBy("chrom", "pos", "code").agg(F.count(F.lit(1)).alias("n"))
+    got = reference.slices(seen, chunks, {"here": (F.lit(0), F.lit(1)), "pair": (F.lit(0), F.lit(2))})
+    return got.where(F.substring(F.lit("ACGT"), F.col("code") + 1, F.lit(1)) == F.col("here")).select("chrom", "pos", "n", "pair")
+
+
+ORACLES["reference_check"] = _OBSERVED + f"""
+, b as ({_REFERENCE}), s as (select chrom, pos, code, count(*) as n from obs group by chrom, pos, code)
+select s.chrom, s.pos, n, substr('ACGT', cast(b.ref_code + 1 as bigint), 1) || coalesce(substr('ACGT', cast(c.ref_code + 1 as bigint), 1), '') as pair
+from s join b on s.chrom = b.chrom and s.pos = b.pos and s.code = b.ref_code left join b c on c.chrom = b.chrom and c.pos = b.pos + 1
+"""
+
+
+@query
+def vcf_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Phred, quality and odds ratio of line items' numbers."""
+    l = table(spark, d, "lineitem")
+    n = F.col("l_linenumber")
+    strands = (n, 8 - n, F.col("l_quantity"), F.lit(50) - F.col("l_quantity"))
+    return l.select(
+        "l_orderkey", "l_linenumber", vcf_math.phred(F.col("l_discount")).alias("phred"), vcf_math.phred_ratio(F.col("l_quantity")).alias("ratio"),
+        F.round(vcf_math.qual(F.col("l_tax") + 0.001, F.lit(0.5), F.col("l_quantity"), F.lit(15)), 6).alias("qual"), F.round(vcf_math.sor(*strands), 6).alias("sor"),
+        vcf_math.max_depth(F.col("l_quantity")).cast("long").alias("max_dp"),
+    )
+
+
+ORACLES["vcf_numbers"] = """
+with l as (select *, l_linenumber + 1.0 as a, 9.0 - l_linenumber as b, l_quantity + 1 as c, 51 - l_quantity as d from lineitem)
+select l_orderkey, l_linenumber, case when l_discount = 0 then 3080 else cast(floor(-10 * log10(l_discount)) as int) end as phred, cast(floor(10 * log10(l_quantity)) as int) as ratio,
+  round(case when l_quantity / 15 < 5 then -4.343 * ln((l_tax + 0.001) / 0.5) * (1 - log2(5 - l_quantity / 15) / log2(5)) end, 6) as qual,
+  round(ln((a * d / (b * c) + b * c / (a * d)) * (least(a, b) / greatest(a, b)) / (least(c, d) / greatest(c, d))), 6) as sor,
+  cast(floor(l_quantity + 5 * sqrt(l_quantity) + 0.51) as bigint) as max_dp from l
+"""
+
+# filtering and annotation of calls
+
+
+def _named_calls(spark: SparkSession, d: str) -> DataFrame:
+    return with_sequence(table(spark, d, "vcf"), table(spark, d, "seq_dict")).drop("chrom").withColumnRenamed("seq_name", "chrom")
+
+
+@query
+def calls_by_sequence(spark: SparkSession, d: str) -> DataFrame:
+    return _named_calls(spark, d).groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("last"))
+
+
+_CALLS = "select v.* replace (s.chrom as chrom) from vcf v join seq_dict s on lower(trim(v.chrom)) in (lower(trim(s.chrom)), lower(trim(s.short_name)))"
+ORACLES["calls_by_sequence"] = f"select chrom, count(*) as n, max(pos) as last from ({_CALLS}) group by chrom"
+
+
+@query
+def calls_mode_depth(spark: SparkSession, d: str) -> DataFrame:
+    return vcf_filter.mode_depth(table(spark, d, "vcf"), "run_id").withColumnRenamed("group", "run_id")
+
+
+_FIELD = lambda k, w="[^;|,\\s]*": f"nullif(regexp_extract(info, '(?:^|[;|,\\s]){k}\\s*=\\s*({w})', 1), '')"
+_MODES = f"""
+with dp as (select run_id, try_cast({_FIELD('DP')} as bigint) as dp from vcf), c as (select run_id, dp, count(*) as n from dp where dp is not null group by run_id, dp),
+modes as (select run_id, arg_max(dp, (n, dp)) as mode_dp from c group by run_id)
+"""
+ORACLES["calls_mode_depth"] = _MODES + "select run_id, mode_dp from modes"
+
+
+@query
+def calls_known(spark: SparkSession, d: str) -> DataFrame:
+    return vcf_filter.annotated(_named_calls(spark, d), table(spark, d, "dbsnp"), "rec_id").withColumnRenamed("ident", "rec_id")
+
+
+_KNOWN = f"""
+, calls as ({_CALLS}),
+al as (select snp_id, lower(trim(chrom)) as chrom, pos, ref_allele, rsid, unnest(regexp_extract_all(alt, '<[^<>]*>|[^,;|/\\s"'']+')) as alt from dbsnp),
+la as (select chrom, pos, ref_allele, alt, arg_max(coalesce(rsid, ''), snp_id) as rsid from al group by chrom, pos, ref_allele, alt),
+ca as (select rec_id, lower(chrom) as chrom, pos, ref_allele, unnest(string_split(alt, ',')) as alt from calls),
+kn as (select rec_id, string_agg(distinct rsid, ',' order by rsid) as rsids from ca join la using (chrom, pos, ref_allele, alt) where rsid <> '' group by rec_id)
+"""
+ORACLES["calls_known"] = _MODES + _KNOWN + "select rec_id, rsids from kn"
+
+
+@query
+def calls_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return vcf_filter.filter_vcf(_named_calls(spark, d), table(spark, d, "dbsnp"), "rec_id", "run_id").withColumnRenamed("ident", "rec_id")
+
+
+@query
+def calls_filter_summary(spark: SparkSession, d: str) -> DataFrame:
+    return vcf_filter.filter_summary(vcf_filter.filter_vcf(_named_calls(spark, d), table(spark, d, "dbsnp"), "rec_id", "run_id"))
+
+
+_TAGS = _MODES + _KNOWN + f"""
+, f as (select c.rec_id, coalesce(c.id, '.') as own_id, c.alt, case when isnan(c.qual) then null else c.qual end as qual, m.mode_dp, coalesce(regexp_matches(info, '(?:^|[;|,\\s])INDEL(?:[;|,\\s]|$)'), false) as indel,
+  try_cast({_FIELD('DP')} as double) as dp, try_cast({_FIELD('FRAC')} as double) as frac, try_cast({_FIELD('QD')} as double) as qd, try_cast({_FIELD('SBFisherPhredAlt')} as double) as fs,
+  try_cast({_FIELD('SOR')} as double) as odds, regexp_split_to_array(regexp_extract(info, '(?:^|[;|,\\s])DP8\\s*=\\s*([0-9.]+(?:[,;|/\\s]+[0-9.]+){{7}})', 1), '[,;|/\\s]+') as s
+  from calls c left join modes m on c.run_id = m.run_id),
+t as (select *, concat_ws(';', case when qual < 10 then 'QUALlow' end, case when dp > floor(mode_dp + 5 * sqrt(mode_dp) + 0.51) then 'DPhigh' end, case when dp < 3 then 'DPlow' end,
+  case when indel and fs > 30 then 'FShigh' end, case when not indel and odds > 3 then 'SORhigh' end, case when not indel and odds is null and fs > 30 then 'FShigh' end,
+  case when frac < case when indel then 0.15 else 0.3 end then 'FRAClow' end, case when qd < case when indel then 20 else 24 end then 'QDlow' end,
+  case when not indel and list_bool_or(list_transform(string_split(alt, ','), lambda b: coalesce(try_cast(s[list_position(['A', 'C', 'G', 'T'], b) * 2 - 1] as double) < 1, false)
+    or coalesce(try_cast(s[list_position(['A', 'C', 'G', 'T'], b) * 2] as double) < 1, false))) then 'SClow' end) as tags from f),
+r as (select t.rec_id, coalesce(rsids, own_id) as id, case when tags = '' or coalesce(rsids, own_id) <> '.' then '.' else tags end as filter_tag from t left join kn on t.rec_id = kn.rec_id)
+"""
+ORACLES["calls_filtered"] = _TAGS + "select * from r"
+ORACLES["calls_filter_summary"] = _TAGS + "select filter_tag, count(*) as n from r group by filter_tag"
+
+
+@query
+def calls_hwe(spark: SparkSession, d: str) -> DataFrame:
+    """Exact equilibrium test of each sequence's genotypes, heterozygous against the two homozygous kinds."""
+    gt = F.replace(F.get(F.split("sample_call", ":"), F.lit(0)), F.lit("|"), F.lit("/"))
+    counts = _named_calls(spark, d).withColumn("gt", gt).groupBy("chrom").agg(F.count_if(F.col("gt") == "0/1").alias("het"), F.count_if(F.col("gt") == "1/1").alias("hom"), F.count_if(F.col("gt") == "1/2").alias("other"))
+    return counts.withColumn("p", F.round(stats.hwe_exact("het", "hom", "other"), 6))
+
+
+@query
+def calls_indel_support(spark: SparkSession, d: str) -> DataFrame:
+    """Read support of the indel calls, against the reads' own consensus as reference."""
+    r = table(spark, d, "aligned_reads")
+    best = F.array_position(F.col("w"), F.array_max("w")).cast("int") - 1
+    consensus = pileup.pileup(reads.aligned_bases(r)).select("chrom", "pos", best.alias("ref_code"))
+    support = vcf_filter.indel_support(_named_calls(spark, d), "rec_id", r, reference.chunks_of_bases(consensus))
+    return support.withColumnRenamed("ident", "rec_id")
