@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociform.plans.tables import fresh
+
 #: Positions of one bin of a range join, and of one tile of a scan along a chromosome.
 BIN, TILE = 4096, 1 << 20
 
@@ -67,9 +69,15 @@ def with_margin(regions: DataFrame, margin: int = 100) -> DataFrame:
     return merged(wide)
 
 
-def _binned(regions: DataFrame, size: int) -> DataFrame:
-    bins = F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))
-    return regions.select("chrom", "start", "end").where("start < end").withColumn("_bin", F.explode(bins))
+def _bins(regions: DataFrame, points: DataFrame, size: int, keep: dict[str, str], reach: int = 0) -> tuple[DataFrame, Column, list[str]]:
+    """Regions by the bins they touch, what joins them to points, and the columns that only do that."""
+    c, s, e, b = own = [fresh(n, points) for n in ("_c", "_s", "_e", "_bin")]
+    wide = regions.where("start < end").select(
+        F.col("chrom").alias(c), (F.col("start") - reach).alias(s), (F.col("end") + reach).alias(e), *[F.col(x).alias(y) for x, y in keep.items()]
+    )
+    bins = wide.withColumn(b, F.explode(F.sequence(F.floor(F.col(s) / size), F.floor((F.col(e) - 1) / size))))
+    inside = (F.col("chrom") == F.col(c)) & (F.floor(F.col("pos") / size) == F.col(b)) & (F.col("pos") >= F.col(s)) & (F.col("pos") < F.col(e))
+    return bins, inside, own
 
 
 def points_in_regions(points: DataFrame, regions: DataFrame, size: int = BIN) -> DataFrame:
@@ -79,8 +87,7 @@ def points_in_regions(points: DataFrame, regions: DataFrame, size: int = BIN) ->
     pairwise comparison over a chromosome, and a semi-join keeps points single however many
     regions hold them.
     """
-    bins = _binned(regions, size).select(F.col("chrom").alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e"), "_bin")
-    inside = (F.col("chrom") == F.col("_c")) & (F.floor(F.col("pos") / size) == F.col("_bin")) & (F.col("pos") >= F.col("_s")) & (F.col("pos") < F.col("_e"))
+    bins, inside, _ = _bins(regions, points, size, {})
     return points.join(bins, inside, "left_semi")
 
 
@@ -89,9 +96,5 @@ def near_points(points: DataFrame, others: DataFrame, reach: int, keep: dict[str
 
     ``keep`` maps the columns of ``others`` that come along to new names.
     """
-    wide = others.select(
-        F.col("chrom").alias("_c"), (F.col("start") - reach).alias("_s"), (F.col("end") + reach).alias("_e"), *[F.col(a).alias(b) for a, b in keep.items()]
-    )
-    bins = wide.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_s") / size), F.floor((F.col("_e") - 1) / size))))
-    inside = (F.col("chrom") == F.col("_c")) & (F.floor(F.col("pos") / size) == F.col("_bin")) & (F.col("pos") >= F.col("_s")) & (F.col("pos") < F.col("_e"))
-    return points.join(bins, inside).drop("_c", "_s", "_e", "_bin")
+    bins, inside, own = _bins(others, points, size, keep, reach)
+    return points.join(bins, inside).drop(*own)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociform.plans.tables import fresh
+
 #: Bases of a chunk, and how far each reaches into the next, so that a pattern lies in one chunk.
 CHUNK, OVERLAP = 4096, 300
 
@@ -31,12 +33,13 @@ def slices(sites: DataFrame, chunks: DataFrame, wanted: dict[str, tuple[Column,
 
     Offsets may be negative only within the site's chunk. Sites off the reference get nulls.
     """
-    keyed = sites.withColumn("_chunk", F.floor((F.col("pos") - 1) / CHUNK))
-    ref = chunks.select(F.col("chrom").alias("_c"), F.col("chunk").alias("_k"), F.col("seq").alias("_seq"))
-    joined = keyed.join(ref, (F.col("chrom") == F.col("_c")) & (F.col("_chunk") == F.col("_k")), "left")
-    at = (F.col("pos") - F.col("_chunk") * CHUNK).cast("int")
-    texts = [F.when(at + o >= 1, F.nullif(F.substring("_seq", at + o, n), F.lit(""))).alias(name) for name, (o, n) in wanted.items()]
-    return joined.select(*sites.columns, *texts)
+    c, k, text = (fresh(n, sites) for n in ("_c", "_k", "_seq"))
+    ref = chunks.select(F.col("chrom").alias(c), F.col("chunk").alias(k), F.col("seq").alias(text))
+    own = F.floor((F.col("pos") - 1) / CHUNK)
+    joined = sites.join(ref, (F.col("chrom") == F.col(c)) & (own == F.col(k)), "left")
+    at = (F.col("pos") - own * CHUNK).cast("int")
+    texts = [F.when(at + o >= 1, F.nullif(F.substring(text, at + o, n), F.lit(""))).alias(name) for name, (o, n) in wanted.items()]
+    return joined.select(*[F.col(x) for x in sites.columns], *texts)
 
 
 def base_runs(bases: DataFrame, tile: int = 1 << 20) -> DataFrame:

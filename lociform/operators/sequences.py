@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociform.plans.tables import fresh
+
 
 def spellings(seq_dict: DataFrame) -> DataFrame:
     """One row per lower-case spelling (name and short name) of each sequence."""
@@ -16,7 +18,9 @@ def with_sequence(df: DataFrame, seq_dict: DataFrame, chrom: str = "chrom") -> D
     """Adds ``seq_name``, the dictionary's name of the sequence spelled in ``chrom``.
 
     Case and outer blanks are set aside. Rows whose spelling is null or unknown are
-    left out: they name no sequence. The dictionary side carries no hint; its size on
+    left out: they name no sequence. A column ``seq_name`` of ``df`` is replaced. The dictionary side carries no hint; its size on
     disk decides how Spark joins it.
     """
-    return df.join(spellings(seq_dict), F.lower(F.trim(F.col(chrom))) == F.col("spelling")).drop("spelling")
+    key = fresh("_spelling", df)
+    named = spellings(seq_dict).withColumnRenamed("spelling", key)
+    return df.drop("seq_name").join(named, F.lower(F.trim(F.col(chrom))) == F.col(key)).drop(key)

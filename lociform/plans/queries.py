@@ -167,7 +167,7 @@ o as (select read_id, unnest(range(1, len(regexp_extract_all(cigar, '[0-9]+')) +
 w as (select *, coalesce(sum(case when op in ('M', 'I', 'S') then n end) over (partition by read_id order by k rows between unbounded preceding and 1 preceding), 0) as r,
   coalesce(sum(case when op in ('M', 'D', 'N') then n end) over (partition by read_id order by k rows between unbounded preceding and 1 preceding), 0) as g from o)
 """
-ORACLES["reads_usable"] = _USABLE + "select read_id, (flag & 16) = 0 as forward, length(bases) as n_bases from u"
+ORACLES["reads_usable"] = _USABLE + "select read_id, (flag & 16) = 0 as forward, cast(length(bases) as int) as n_bases from u"
 
 
 @query
@@ -498,7 +498,7 @@ def genotype_unbacked(spark: SparkSession, d: str) -> DataFrame:
     return calls.agg(F.count(F.lit(1)).alias("n"))
 
 
-ORACLES["genotype_unbacked"] = "select 0 as n from (select count(*) from lineitem)"
+ORACLES["genotype_unbacked"] = "select cast(0 as bigint) as n from (select count(*) from lineitem)"
 
 
 def _enriched(spark: SparkSession, d: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -53,3 +53,11 @@ def materialized(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="lociform-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores added until no frame has a column of that name."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
