@@ -90,14 +90,16 @@ def aligned_bases(reads: DataFrame, config: CallerConfig = CallerConfig()) -> Da
     """
     ops = walked(usable_reads(reads, config), config).where("op = 'M'")
     low, high = F.greatest("r", F.lit(config.trim)), F.least(F.col("r") + F.col("len"), F.length("bases") - config.trim) - 1
-    each = ops.where(high >= low).select("*", F.explode(F.sequence(low, high)).alias("i"))
+    part = lambda c: F.slice(c, low + 1, high - low + 1)
+    quals = F.coalesce("qual", F.expr("cast(array() as array<int>)"))
+    pairs = F.arrays_zip(part(F.split("bases", "")).alias("base"), part(quals).alias("q"))
+    # the arrays are cut once per operation, so that a base's row holds neither read nor qualities
+    spans = ops.where(high >= low).select("chrom", (F.col("g") + low - F.col("r")).alias("first"), "forward", pairs.alias("pairs"))
+    each = spans.select("chrom", "first", "forward", F.posexplode("pairs").alias("k", "x"))
     return each.select(
-        "chrom",
-        (F.col("g") + F.col("i") - F.col("r")).alias("pos"),
-        base_code(F.substring("bases", F.col("i") + 1, 1)).alias("code"),
-        quality_weight(F.get("qual", F.col("i")), config).alias("weight"),
-        "forward",
-    )
+        "chrom", (F.col("first") + F.col("k")).alias("pos"), base_code(F.col("x.base")).alias("code"),
+        quality_weight(F.col("x.q"), config).alias("weight"), "forward",
+    )
 
 
 def read_indels(reads: DataFrame, config: CallerConfig = CallerConfig()) -> DataFrame:

@@ -18,44 +18,57 @@ def _at(array: str, allele: Column) -> Column:
     return F.get(F.col(array), (F.array_position(F.array(*map(F.lit, ALLELES)), allele) - 1).cast("int"))
 
 
-def _pl(*pairs: Column) -> Column:
+def _phred_shares(pairs: Column) -> Column:
     """Phred-scaled posteriors over the best one; a pair that is no genotype counts as zero."""
     place = F.create_map(*[x for k, v in _PLACE.items() for x in (F.lit(k), F.lit(v))])
-    each = [phred(F.coalesce(F.get("share", F.try_element_at(place, p)), F.lit(0.0))) for p in pairs]
-    return F.concat_ws(",", *[x.cast("string") for x in each])
+    return F.array_join(F.transform(pairs, lambda p: phred(F.coalesce(F.get("share", F.try_element_at(place, p)), F.lit(0.0))).cast("string")), ",")
 
 
 def _list(*numbers: Column) -> Column:
     return F.concat_ws(",", *[x.cast("string") for x in numbers])
 
 
-def _record(indel: bool, alts: list[Column], counted: list[Column], gt: str, ac: str, af: str, dp: Column, pl: Column, ref: Column, alt: Column, het: bool = False, odds: tuple | None = None) -> Column:
-    """Struct of one record. ``counted`` are the alleles behind quality and depth ratio."""
-    nom, den = sum((_at("depth", a) for a in counted), F.lit(0.0)), sum((_at("reads", a) for a in counted), F.lit(0))
-    qd = F.try_divide(nom * 10, den)
-    r = F.col("ref")
-    frac = F.format_string("%.3f", F.try_divide(_at("reads", alts[0]).cast("double"), _at("reads", alts[0]) + _at("reads", r))) if het else F.lit("1.000")
-    d = lambda c: c.cast("long").cast("string")
-    bias = lambda key, name: [*([(f"{key}Ref", phred(_at(name, r)))] if het else []), (f"{key}Alt", phred(_at(name, alts[0]))), *([(f"{key}Alt2", phred(_at(name, alts[1])))] if len(alts) > 1 else [])]
-    two = [F.coalesce(F.concat_ws(",", F.concat(x["length"].cast("string"), x["kind"]), x["seq"], x["hq"].cast("string"), x["lq"].cast("string")), F.lit("*,*,*,*")) for x in (F.when(F.col("is_indel"), F.try_element_at("indels", F.lit(k))) for k in (1, 2))]
-    meta = F.concat_ws(",", *[F.when(x == "", "*,*,*,*").otherwise(x) for x in two])
+def _plan(indel: bool, alts: list[Column], counted: list[Column], gt: str, ac: str, af: str, dp: Column, ref: Column, alt: Column, odds: list[Column] | None = None) -> Column:
+    """What one record is made of: its alleles, those behind quality and depth ratio, and those of the odds ratio."""
+    r, names = F.col("ref"), F.array(*alts)
+    every = F.concat(F.array(r), names)
+    pairs = [F.concat(F.get(every, F.lit(i)), F.get(every, F.lit(j))) for j in range(len(alts) + 1) for i in range(j + 1)]
+    if len(alts) == 2:  # in the order of the alleles' first member
+        pairs = [pairs[k] for k in (0, 1, 3, 2, 4, 5)]
+    none = F.lit(None).cast("array<string>")
+    return F.struct(
+        F.lit(indel).alias("indel"), names.alias("alts"), F.array(*counted).alias("counted"), F.lit(gt).alias("gt_text"), F.lit(ac).alias("ac"), F.lit(af).alias("af"),
+        dp.cast("long").alias("dp"), ref.alias("ref_allele"), alt.alias("alt"), (F.array(*odds) if odds else none).alias("odds"), F.array(*pairs).alias("pairs"),
+    )
+
+
+def _written(rows: DataFrame) -> DataFrame:
+    """Quality, INFO and sample column of planned records."""
+    total = lambda array: F.aggregate(F.transform("counted", lambda a: _at(array, a).cast("double")), F.lit(0.0), lambda s, v: s + v)
+    r, first, second = F.col("ref"), F.get("alts", F.lit(0)), F.get("alts", F.lit(1))
+    rows = rows.withColumns({"nom": total("depth"), "den": total("reads"), "het": F.col("gt_text") == "0/1", "both": F.array_contains("counted", r)})
+    qd = F.try_divide(F.col("nom") * 10, F.col("den"))
+    share = F.try_divide(_at("reads", first).cast("double"), _at("reads", first) + _at("reads", r))
+    whole = lambda c: c.cast("long").cast("string")
     five = lambda c: F.format_string("%.5f", c)
+    bias = lambda key, name: [(f"{key}Ref", F.when(F.col("both"), whole(phred(_at(name, r))))), (f"{key}Alt", whole(phred(_at(name, first)))), (f"{key}Alt2", whole(phred(_at(name, second))))]
+    shown = F.transform(F.array(F.lit(1), F.lit(2)), lambda k: F.when(F.col("is_indel"), F.try_element_at("indels", k)))
+    meta = F.array_join(F.transform(shown, lambda x: F.coalesce(F.concat(x["length"].cast("string"), x["kind"], F.lit(","), x["seq"], F.lit(","), x["hq"].cast("string"), F.lit(","), x["lq"].cast("string")), F.lit("*,*,*,*"))), ",")
+    a, b = F.get("odds", F.lit(0)), F.get("odds", F.lit(1))
+    strands = F.transform(F.arrays_zip(F.slice("f", 1, 4).alias("p"), F.slice("r", 1, 4).alias("m")), lambda x: F.concat_ws(",", x["p"].cast("string"), x["m"].cast("string")))
     pairs = [
-        ("AC", F.lit(ac)), ("AF", F.lit(af)), ("AN", F.lit("2")), ("FRAC", frac), *[(k, d(v)) for k, v in bias("BQFisherPhred", "bq6")], ("BestGT", F.col("gt")),
-        ("DP", d(dp)), ("DP4", _list(*[F.get("reads", F.lit(k)) for k in range(4)])), ("DP8", _list(*[F.get(x, F.lit(k)) for k in range(4) for x in "fr"])), ("IndelMeta", meta),
-        *[(k, d(v)) for k, v in bias("SBFisherPhred", "sb6")], ("QD", F.format_string("%.3f", qd)), ("ReadPosBias", five(F.col("read_pos_bias"))),
-        ("DepthBias", five(F.col("depth_balance"))), *([("SOR", five(sor(*odds)))] if odds else []),
-        ("LeftGCPercent", d(F.col("left_gc") * 100)), ("RightGCPercent", d(F.col("right_gc") * 100)), ("LeftQuality", d(F.col("left_quality") * 10)),
-        ("RightQuality", d(F.col("right_quality") * 10)), ("OptSuboptRatio", d(phred_ratio(F.try_divide("opt", "sub")))), ("LeftG", d(F.col("left_g"))),
-        ("RightG", d(F.col("right_g"))), ("HRun", d(F.col("hrun"))), ("IHDP", d(F.col("total_hq"))), ("ILDP", d(F.col("total_lq"))),
+        ("AC", F.col("ac")), ("AF", F.col("af")), ("AN", F.lit("2")), ("FRAC", F.when(F.col("both") & F.col("het"), F.format_string("%.3f", share)).otherwise("1.000")),
+        *bias("BQFisherPhred", "bq6"), ("BestGT", F.col("gt")), ("DP", whole(F.col("dp"))), ("DP4", F.array_join(F.transform(F.slice("reads", 1, 4), lambda x: x.cast("string")), ",")),
+        ("DP8", F.array_join(strands, ",")), ("IndelMeta", meta), *bias("SBFisherPhred", "sb6"), ("QD", F.format_string("%.3f", qd)), ("ReadPosBias", five(F.col("read_pos_bias"))),
+        ("DepthBias", five(F.col("depth_balance"))), ("SOR", F.when(F.col("odds").isNotNull(), five(sor(_at("f", a), _at("r", a), _at("f", b), _at("r", b))))),
+        ("LeftGCPercent", whole(F.col("left_gc") * 100)), ("RightGCPercent", whole(F.col("right_gc") * 100)), ("LeftQuality", whole(F.col("left_quality") * 10)),
+        ("RightQuality", whole(F.col("right_quality") * 10)), ("OptSuboptRatio", whole(phred_ratio(F.try_divide("opt", "sub")))), ("LeftG", whole(F.col("left_g"))),
+        ("RightG", whole(F.col("right_g"))), ("HRun", whole(F.col("hrun"))), ("IHDP", whole(F.col("total_hq"))), ("ILDP", whole(F.col("total_lq"))),
     ]
-    info = F.concat_ws(";", *([F.lit("INDEL")] if indel else []), *[F.concat(F.lit(k + "="), v) for k, v in pairs])
-    ad = _list(_at("reads", r), *[_at("reads", a) for a in alts])
-    sample = F.concat_ws(":", F.lit(gt), ad, d(dp), d(F.floor(qd + 0.499)), pl)
-    return F.struct(
-        ref.alias("ref_allele"), alt.alias("alt"), qual(F.col("sub"), F.col("opt"), nom, den).alias("qual"),
-        info.alias("info"), F.lit("GT:AD:DP:GQ:PL").alias("format_keys"), sample.alias("sample_call"), F.lit(indel).alias("indel"),
-    )
+    info = F.concat_ws(";", F.when(F.col("indel"), "INDEL"), *[F.concat(F.lit(k + "="), v) for k, v in pairs])
+    ad = F.array_join(F.transform(F.concat(F.array(r), F.col("alts")), lambda x: _at("reads", x).cast("string")), ",")
+    sample = F.concat_ws(":", "gt_text", ad, whole(F.col("dp")), whole(F.floor(qd + 0.499)), _phred_shares(F.col("pairs")))
+    return rows.withColumns({"qual": qual(F.col("sub"), F.col("opt"), F.col("nom"), F.col("den")), "info": info, "format_keys": F.lit("GT:AD:DP:GQ:PL"), "sample_call": sample})
 
 
 def _indel_texts() -> tuple[Column, Column]:
@@ -109,30 +122,23 @@ def to_vcf(enriched: DataFrame, chunks: DataFrame) -> DataFrame:
     a, b, x, y = F.col("a"), F.col("b"), F.lit("X"), F.lit("Y")
     base_dp = F.aggregate(F.slice("reads", 1, 4), F.lit(0).cast("long"), lambda s, v: s + v) + F.col("total_hq") + F.col("total_lq")
     own = _at("reads", r)
-    strands = lambda p, q: (_at("f", p), _at("r", p), _at("f", q), _at("r", q))
-    three = lambda alt: _pl(F.concat(r, r), F.concat(r, alt), F.concat(alt, alt))
-    half, halves = "0.5", "0.500,0.500"
-    pair_pl = _pl(F.concat(r, r), F.concat(r, a), F.concat(r, b), F.concat(a, a), F.concat(a, b), F.concat(b, b))
     one_ref, one_alt = _indel_texts()
     two_ref, two_alt = _two_indel_texts()
-    het, hom = F.col("gt").contains(r) & (first != second), first == second
-    has_x = F.col("is_indel")
+    het, hom, has_x = F.col("gt").contains(r) & (first != second), first == second, F.col("is_indel")
     mixed = has_x & ~het & ~hom & (F.col("gt") != "XY")
-    records = [
-        (~has_x & hom, _record(False, [a], [a], "1/1", "2", "1", base_dp, three(a), r, a, odds=strands(r, a))),
-        (~has_x & het, _record(False, [a], [r, a], "0/1", "1", half, base_dp, three(a), r, a, het=True, odds=strands(r, a))),
-        (~has_x & ~het & ~hom, _record(False, [a, b], [a, b], "1/2", "1,1", halves, base_dp, pair_pl, r, F.concat(a, F.lit(","), b), odds=strands(a, b))),
-        (has_x & hom, _record(True, [x], [x], "1/1", "2", "1", base_dp - own, three(x), one_ref, one_alt)),
-        (has_x & het, _record(True, [x], [r, x], "0/1", "1", half, base_dp - F.floor(own / 2), three(x), one_ref, one_alt, het=True)),
-        (F.col("gt") == "XY", _record(True, [x, y], [x, y], "1/2", "1,1", halves, base_dp - own, pair_pl, two_ref, two_alt)),
-        (mixed, _record(True, [x], [x], "0/1", "1", half, base_dp - own, three(x), one_ref, one_alt)),
-    ]
-    also = F.when(mixed, _record(False, [a], [a], "0/1", "1", half, base_dp - own, three(a), r, a))
-    main = None
-    for when, what in records:
-        main = F.when(when, what) if main is None else main.when(when, what)
-    each = F.filter(F.array(main, also), lambda v: v.isNotNull() & v["ref_allele"].isNotNull() & v["qual"].isNotNull())
-    out = rows.select("chrom", "pos", F.inline(each))
+    half, halves = "0.5", "0.500,0.500"
+    main = (
+        F.when(~has_x & hom, _plan(False, [a], [a], "1/1", "2", "1", base_dp, r, a, [r, a]))
+        .when(~has_x & het, _plan(False, [a], [r, a], "0/1", "1", half, base_dp, r, a, [r, a]))
+        .when(~has_x, _plan(False, [a, b], [a, b], "1/2", "1,1", halves, base_dp, r, F.concat(a, F.lit(","), b), [a, b]))
+        .when(hom, _plan(True, [x], [x], "1/1", "2", "1", base_dp - own, one_ref, one_alt))
+        .when(het, _plan(True, [x], [r, x], "0/1", "1", half, base_dp - F.floor(own / 2), one_ref, one_alt))
+        .when(F.col("gt") == "XY", _plan(True, [x, y], [x, y], "1/2", "1,1", halves, base_dp - own, two_ref, two_alt))
+        .otherwise(_plan(True, [x], [x], "0/1", "1", half, base_dp - own, one_ref, one_alt))
+    )
+    also = F.when(mixed, _plan(False, [a], [a], "0/1", "1", half, base_dp - own, r, a))
+    plans = F.filter(F.array(main, also), lambda v: v.isNotNull() & v["ref_allele"].isNotNull())
+    out = _written(rows.select("*", F.inline(plans))).where("qual is not null")
     checked = slices(out, chunks, {"held": (F.lit(0), F.lit(256))}).where(F.substring(F.col("held"), F.lit(1), F.length("ref_allele")) == F.col("ref_allele"))
     return checked.select(
         "chrom", "pos", F.lit(".").alias("id"), "ref_allele", "alt", F.round("qual", 1).alias("qual"), F.lit(".").alias("filter_tag"), "info", "format_keys", "sample_call"
