@@ -23,6 +23,8 @@ PER_LANGUAGE = 300
 LINE_CAP, SWITCH = 12.0, 24.0
 #: Lines that a further language needs to be held.
 LEAST_LINES = 8
+#: Bytes whose n-grams are held at once, so that a very long text needs little more memory than itself.
+STEP = 1 << 19
 
 _PLAIN = bytes(48 if 48 <= c <= 57 else 32 if c in (9, 11, 12, 13) else c for c in range(256))
 
@@ -36,26 +38,38 @@ def line_bytes(text: str) -> bytes:
 
 @dataclass
 class Lines:
-    """N-grams of some texts by line: ``of`` gives the text of each line, ``line_no`` counts from 1."""
+    """Lines of some texts: ``of`` gives the text of each, ``line_no`` counts from 1, ``heads`` are their places in ``raw``."""
 
-    grams: np.ndarray
-    line: np.ndarray
+    raw: np.ndarray
+    heads: np.ndarray
     of: np.ndarray
     line_no: np.ndarray
     blank: np.ndarray
     remark: np.ndarray
 
+    def grams(self, step: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """N-grams that lie in one line, and the line of each, by stretches of ``step`` bytes."""
+        for i in range(0, len(self.raw) - GRAM + 1, step):
+            part = self.raw[i : i + step + GRAM - 1]
+            n = len(part) - GRAM + 1
+            gram, inside = part[:n].astype(np.uint64), np.zeros(n, bool)
+            for k in range(1, GRAM):
+                after = part[k : k + n]
+                gram |= after.astype(np.uint64) << np.uint64(8 * k)
+                inside |= after == 10
+            at = np.flatnonzero(~inside)
+            yield gram[at], np.searchsorted(self.heads, at + i, side="right") - 1
+
 
 def read_lines(texts: list[str]) -> Lines:
     flat = [line_bytes(t) for t in texts]
     raw = np.frombuffer(b"".join(flat), np.uint8)
     before = np.concatenate((np.array([10], np.uint8), raw[:-1]))
     keep = (raw != 32) | ((before != 32) & (before != 10))
-    source = np.repeat(np.arange(len(flat), dtype=np.int32), [len(b) for b in flat])[keep]
+    ends = np.cumsum(np.add.reduceat(keep, np.cumsum([0] + [len(b) for b in flat[:-1]]), dtype=np.int64)) if flat else np.zeros(0, np.int64)
     raw = raw[keep]
-    feed = raw == 10
-    heads = np.flatnonzero(feed)
-    of = source[heads]
+    heads = np.flatnonzero(raw == 10)
+    of = np.searchsorted(ends, heads, side="right").astype(np.int32)
     line_no = np.arange(len(heads)) - np.searchsorted(of, of) + 1
     padded = np.concatenate((raw, np.full(GRAM, 10, np.uint8)))
     a, b, c = padded[heads + 1], padded[heads + 2], padded[heads + 3]
@@ -69,14 +83,7 @@ def read_lines(texts: list[str]) -> Lines:
         | ((a == 60) & (b == 33) & (c == 45))
         | ((a == 96) & (b == 96))
     ) & ~blank
-    gram = raw.astype(np.uint64)
-    inside = np.zeros(len(raw), bool)
-    for k in range(1, GRAM):
-        after = padded[k : k + len(raw)]
-        gram |= after.astype(np.uint64) << np.uint64(8 * k)
-        inside |= after == 10
-    at = np.flatnonzero(~inside)
-    return Lines(gram[at], (np.cumsum(feed, dtype=np.int32) - 1)[at], of, line_no, blank, remark)
+    return Lines(raw, heads, of, line_no, blank, remark)
 
 
 @dataclass
@@ -105,25 +112,26 @@ class Filters:
 
     def counts(self, lines: Lines) -> np.ndarray:
         """Expected true n-grams of each language in each line (lines x languages)."""
-        n_lines, n_lang = len(lines.of), len(self.languages)
-        out = np.zeros((n_lines, n_lang), np.float32)
-        if not len(lines.grams):
-            return out
-        first, second = self.slots_of(lines.grams)
-        masks = self.slots[first] & self.slots[second]
-        # sums of up to 255 n-grams fit the byte lanes; longer lines have several chunks
-        starts = np.flatnonzero(np.concatenate(([True], lines.line[1:] != lines.line[:-1])))
-        sizes = np.diff(np.concatenate((starts, [len(masks)])))
-        parts = -(-sizes // 255)
-        chunk = np.repeat(starts, parts) + 255 * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-        lanes = masks.view(np.uint8).reshape(len(masks), -1)
-        chunk_hits = np.empty((len(chunk), 8 * -(-n_lang // 8)), np.uint8)
-        for k in range(0, n_lang, 8):
-            sums = np.add.reduceat(_SPREAD[lanes[:, k // 8]], chunk)
-            chunk_hits[:, k : k + 8] = sums.view(np.uint8).reshape(-1, 8)
-        hits = np.add.reduceat(chunk_hits[:, :n_lang], np.cumsum(parts) - parts, axis=0, dtype=np.float32)
-        out[lines.line[starts]] = np.maximum(0, (hits - sizes[:, None] * self.false_rate) / (1 - self.false_rate))
-        return out
+        n_lang = len(self.languages)
+        out, n = np.zeros((len(lines.of), n_lang), np.float32), np.zeros(len(lines.of), np.float32)
+        for grams, line in lines.grams():
+            if not len(grams):
+                continue
+            first, second = self.slots_of(grams)
+            masks = self.slots[first] & self.slots[second]
+            # sums of up to 255 n-grams fit the byte lanes; longer lines have several chunks
+            starts = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+            sizes = np.diff(np.concatenate((starts, [len(masks)])))
+            parts = -(-sizes // 255)
+            chunk = np.repeat(starts, parts) + 255 * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+            lanes = masks.view(np.uint8).reshape(len(masks), -1)
+            chunk_hits = np.empty((len(chunk), 8 * -(-n_lang // 8)), np.uint8)
+            for k in range(0, n_lang, 8):
+                sums = np.add.reduceat(_SPREAD[lanes[:, k // 8]], chunk)
+                chunk_hits[:, k : k + 8] = sums.view(np.uint8).reshape(-1, 8)
+            out[line[starts]] += np.add.reduceat(chunk_hits[:, :n_lang], np.cumsum(parts) - parts, axis=0, dtype=np.float32)
+            n[line[starts]] += sizes
+        return np.maximum(0, (out - n[:, None] * self.false_rate) / (1 - self.false_rate)).astype(np.float32)
 
 
 _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
@@ -238,7 +246,8 @@ def fit_filters(docs: DataFrame, labels: DataFrame, names: DataFrame, per_langua
                 each = []
                 for words in group["words"]:
                     lines = read_lines([words])
-                    each.append(np.unique(lines.grams[~lines.remark[lines.line]]))
+                    parts = [np.unique(g[~lines.remark[at]]) for g, at in lines.grams()]
+                    each.append(np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64))
                 found, n = np.unique(np.concatenate(each), return_counts=True)
                 yield pd.DataFrame({"lang_code": code, "gram": found.astype(np.int64), "n": n})
 

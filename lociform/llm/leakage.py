@@ -74,21 +74,37 @@ def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return x
 
 
-def fingerprints(texts: list[str], gram: int = GRAM, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Winnowed fingerprints of texts: index of the text, word position, hash.
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of folded bytes."""
+    solid = np.concatenate(([False], raw != 32, [False]))
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    return edges[::2], edges[1::2]
 
-    Of every ``span - gram + 1`` consecutive grams of a text the one with the least hash is
-    kept (all of them on ties), so two texts that share ``span`` consecutive words share a
-    fingerprint inside them. Texts of fewer than ``span`` words have none.
+
+def stretches(flat: bytes, span: int, size: int) -> Iterator[tuple[int, bytes]]:
+    """A folded text in stretches of about ``size`` bytes, each with the number of words before it.
+
+    Consecutive stretches share ``span - 1`` words, so every ``span`` words lie in one.
     """
+    at = before = 0
+    while at < len(flat):
+        end = flat.find(b" ", at + size)
+        if end < 0:
+            yield before, flat[at:]
+            return
+        start, _ = _words(np.frombuffer(flat, np.uint8, end - at, at))
+        if len(start) < 2 * span:
+            size *= 2
+            continue
+        yield before, flat[at:end]
+        skip = len(start) - (span - 1)
+        before, at = before + skip, at + int(start[skip])
+
+
+def _winnowed(flat: list[bytes], gram: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    flat = [folded(t) for t in texts]
     raw = np.frombuffer(b" ".join(flat) + b" ", np.uint8)
-    if not len(raw):
-        return none
-    solid = np.concatenate(([False], raw != 32, [False]))
-    edges = np.flatnonzero(solid[1:] != solid[:-1])
-    start, end = edges[::2], edges[1::2]
+    start, end = _words(raw)
     window = span - gram + 1
     if len(start) < span:
         return none
@@ -104,10 +120,37 @@ def fingerprints(texts: list[str], gram: int = GRAM, span: int = SPAN) -> tuple[
     pad = np.zeros(window - 1, np.uint64)
     most = _sliding(np.concatenate((pad, least, pad)), window, np.maximum)
     at = np.flatnonzero((most == grams) & (most > 0))
-    first = np.searchsorted(owner, np.arange(len(texts)))
+    first = np.searchsorted(owner, np.arange(len(flat)))
     return owner[at], at - first[owner[at]], grams[at].astype(np.int64)
 
 
+def fingerprints(texts: list[str], gram: int = GRAM, span: int = SPAN, size: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Winnowed fingerprints of texts: index of the text, word position, hash.
+
+    Of every ``span - gram + 1`` consecutive grams of a text the one with the least hash is
+    kept (all of them on ties), so two texts that share ``span`` consecutive words share a
+    fingerprint inside them. Texts of fewer than ``span`` words have none. Texts longer
+    than ``size`` bytes are worked through in overlapping stretches, whole all the same.
+    """
+    pieces = [(i, before, piece) for i, t in enumerate(texts) for before, piece in stretches(folded(t), span, size)]
+    found, block, held = [], [], 0
+    for k, (_, _, piece) in enumerate(pieces):
+        block.append(k)
+        held += len(piece)
+        if held > size or k == len(pieces) - 1:
+            owner, place, value = _winnowed([pieces[j][2] for j in block], gram, span)
+            which = np.array(block)[owner]
+            found.append((np.array([p[0] for p in pieces], np.int64)[which], np.array([p[1] for p in pieces], np.int64)[which] + place, value))
+            block, held = [], 0
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    text, place, value = (np.concatenate(x) for x in zip(*found))
+    if any(before for _, before, _ in pieces):  # what lies where stretches overlap may have been found twice
+        _, once = np.unique(np.stack((text, place)), axis=1, return_index=True)
+        text, place, value = text[once], place[once], value[once]
+    return text, place, value
+
+
 def fingerprint_rows(df: DataFrame, ident: str, text: str, gram: int = GRAM, span: int = SPAN) -> DataFrame:
     """``ident, place, print``: the fingerprints of every text, in one pass without a shuffle."""
 

@@ -36,6 +36,9 @@ def test_counts_equal_plain_counting():
     lines = G.read_lines(texts)
     got = {(int(o), int(n)): tuple(c) for o, n, c in zip(lines.of, lines.line_no, f.counts(lines)) if c.any()}
     assert got == {(0, 1): (1, 0), (0, 3): (1, 1), (1, 1): (0, 1996), (1, 2): (1, 0)}
+    whole = [np.concatenate(x) for x in zip(*lines.grams(1 << 20))]
+    for step in (1, 7, 300):
+        assert all((np.concatenate(x) == w).all() for x, w in zip(zip(*lines.grams(step)), whole))
 
 
 def test_smoothing_equals_viterbi():

@@ -29,6 +29,15 @@ def test_every_long_span_has_a_fingerprint():
         assert place.max() < 200 and place.min() >= 0
 
 
+def test_long_texts_in_stretches_have_the_same_fingerprints():
+    r = random.Random(7)
+    texts = [" ".join(str(r.randrange(500)) for _ in range(n)) for n in (0, 10, 400, 3000)] + ["a " * 500, "x" * 5000 + " y" * 100]
+    whole = {tuple(x) for x in zip(*map(list, fingerprints(texts)))}
+    for size in (200, 1000, 7000):
+        parts = list(zip(*map(list, fingerprints(texts, size=size))))
+        assert len(parts) == len(set(parts)) and set(parts) == whole
+
+
 def case(spark, texts, items=None, **k):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 as item", "2 as place")
     tests = spark.createDataFrame(items or [("T", " ".join(ITEM))], "item_id string, item_text string")
