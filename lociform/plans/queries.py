@@ -56,6 +56,10 @@ n as (
 select call_id, attr, cast(round(arg_max(v, (recorded_at, attr_row_id)) * 1000) as bigint) as val_milli from n where v is not null group by call_id, attr
 """
 
+ORACLES["p2_unknown_attributes"] = f"""
+select call_id, attr, val from info_attrs where attr is null or regexp_replace(lower(trim(attr)), '^info[/.:]', '') not in ({', '.join(repr(k.lower()) for k in wide.INFO_TYPES)})
+"""
+
 # problem 5
 
 
@@ -70,7 +74,7 @@ def p5_valid(spark: SparkSession, d: str) -> DataFrame:
     return reject.valid_records(table(spark, d, "vcf_lines"), "line_id", "line").withColumnRenamed("ident", "line_id")
 
 
-ORACLES["p5_found"] = r"""
+_PARSED = r"""
 with l as (select line_id, regexp_replace(line, '\r$', '') as s from vcf_lines),
 r as (select line_id, regexp_replace(s, '(^|\t)"(?:[^"]|"")*"', '\1q', 'g') as b, s from l where not regexp_full_match(s, '\s*') and s not like '#%'),
 w as (select *, regexp_full_match(s, '(?:"(?:[^"]|"")*"|[^"\t]*)(?:\t(?:"(?:[^"]|"")*"|[^"\t]*))*') as ok from r),
@@ -82,9 +86,12 @@ c as (select line_id, case when not ok then 'quoting' when len(x) <> 10 then 'co
   when not regexp_full_match(z[2], '0*[1-9][0-9]*') then 'pos'
   when not (z[6] = '.' or regexp_full_match(z[6], '[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?')) then 'qual'
   when dp is null or fr is null or qd is null or not regexp_full_match(dp, '[0-9]+') or not regexp_full_match(fr, '[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?')
-    or not regexp_full_match(qd, '[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?') or cast(fr as double) > 1 then 'info' end as reason from e)
-select line_id, reason from c where reason is not null
+    or not regexp_full_match(qd, '[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?') or cast(fr as double) > 1 then 'info' end as reason, z from e)
 """
+ORACLES["p5_found"] = _PARSED + "select line_id, reason from c where reason is not null"
+ORACLES["p5_valid"] = _PARSED + "select line_id, " + ", ".join(
+    f"try_cast(nullif(z[{i}], '.') as {'bigint' if f == 'pos' else 'double'}) as {f}" if f in ("pos", "qual") else f"nullif(z[{i}], '.') as {f}" for i, f in enumerate(reject.FIELDS, 1)
+) + " from c where reason is null"
 
 # problem 6
 
@@ -487,8 +494,46 @@ def _called_sites(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Da
 @query
 def genotype_calls(spark: SparkSession, d: str) -> DataFrame:
     calls = candidates.genotyped(candidates.sites(*_called_sites(spark, d)))
-    digits = lambda c: F.format_string("%.6e", c)
-    return calls.select("chrom", "pos", "ref", "gt", digits(F.col("best_p")).alias("best_p"), digits(F.col("second_p")).alias("second_p"), digits(F.col("p_d")).alias("p_d"))
+    digits = [candidates.scientific(F.col(c)).alias(c) for c in ("best_p", "second_p", "p_d")]
+    return calls.select("chrom", "pos", "ref", "gt", *digits)
+
+
+def _model_sql() -> str:
+    """SQL of the sixteen likelihoods, posteriors and the call, for sites (chrom, pos, ref_code, w array of 6)."""
+    spec = []  # genotype, allele, other allele, kind of count, share expected, exponent
+    for g, (a, b) in enumerate(codes.PAIRS):
+        e = 0.0125 if a == b else 0.01
+        if a == b:
+            spec += [(g, a, b, "hit", 1 - e, 1.0), (g, a, b, "rest", e, 1.0)]
+        else:
+            spec += [(g, a, b, "half", 0.5 - e, 0.5), (g, b, a, "half", 0.5 - e, 0.5), (g, a, b, "rest", e, 1.0)]
+    rows = ", ".join(f"({g}, {a + 1}, {b + 1}, '{k}', {x!r}, {y})" for g, a, b, k, x, y in spec)
+    priors = ", ".join(f"({r}, {g}, {p!r}, '{codes.GENOTYPES[g]}')" for r in range(4) for g, p in enumerate(codes.genotype_prior(r)))
+    return f"""
+, spec(g, a, b, kind, share, k) as (values {rows}), prior(ref_code, g, prior, gt) as (values {priors}),
+low as (select chrom, pos, ref_code, list_transform(w, lambda x, i: case when i = ref_code + 1 and w[5] + w[6] > 0 then greatest(0, floor(x - ((w[5] + w[6]) * 1.375 + 0.5))) else x end) as w from site),
+tot as (select *, list_sum(w) as n, floor(list_sum(w) * 0.5 + 0.5) as half from low),
+ask as (select chrom, pos, ref_code, g, k, cast(case kind when 'rest' then greatest(0, n - w[a] - case when a = b then 0 else w[b] end) else w[a] end as bigint) as t,
+  cast(case kind when 'half' then half else n end as bigint) as n, share from tot, spec),
+exp as (select *, cast(floor(cast(n as float) * cast(share as float) + cast(0.5 as float)) as bigint) as e from ask),
+dis as (select t, n, e, {_fisher_sql('t', 'n', 'e', 'n', '(1 + 1e-9)')} as p from (select distinct t, n, e from exp)),
+lns as (select chrom, pos, ref_code, g, min(p) as low, sum(k * case when p > 0 then ln(p) end) as ln from exp join dis using (t, n, e) group by chrom, pos, ref_code, g),
+lik as (select *, case when low <= 0 or ln < -1500 * ln(2.0) then 0.0 else least(1.0, greatest(exp(ln), 2.2250738585072014e-308)) end as l from lns),
+pst as (select *, sum(l) over (partition by chrom, pos) as p_d, l / nullif(sum(l) over (partition by chrom, pos), 0) * prior as q from lik join prior using (ref_code, g)),
+rnk as (select *, row_number() over (partition by chrom, pos order by q desc nulls last, g) as i from pst)
+select chrom, pos, substr('ACGT', cast(ref_code + 1 as bigint), 1) as ref, case when max(p_d) = 0 then substr('ACGT', cast(ref_code + 1 as bigint), 1) || substr('ACGT', cast(ref_code + 1 as bigint), 1) else max(gt) filter (i = 1) end as gt,
+  printf('%.4e', coalesce(max(q) filter (i = 1), 0)) as best_p, printf('%.4e', coalesce(max(q) filter (i = 2), 0)) as second_p, printf('%.4e', max(p_d)) as p_d from rnk group by chrom, pos, ref_code
+"""
+
+
+ORACLES["genotype_calls"] = _INDELS + f"""
+, a as (select chrom, greatest(pos - 1, 1) as pos, kind, length, seq, hq, lq from cnt),
+k as (select *, row_number() over (partition by chrom, pos order by hq + lq desc, kind desc, length, seq) as place from a),
+x as (select chrom, pos, coalesce(max(4 * hq) filter (place = 1), 0) as x, coalesce(max(4 * hq) filter (place = 2), 0) as y from k where place <= 2 group by chrom, pos),
+p as (select chrom, pos, {', '.join(f"coalesce(sum(weight) filter (code = {k}), 0) as w{k}" for k in range(4))} from obs group by chrom, pos),
+site as (select r.chrom, r.pos, r.ref_code, list_transform([coalesce(w0, 0), coalesce(w1, 0), coalesce(w2, 0), coalesce(w3, 0), coalesce(x, 0), coalesce(y, 0)], lambda v: cast(v as double)) as w
+  from ({_REFERENCE}) r left join p on r.chrom = p.chrom and r.pos = p.pos left join x on r.chrom = x.chrom and r.pos = x.pos where p.pos is not null or x.pos is not null)
+""" + _model_sql()
 
 
 @query
@@ -696,6 +741,18 @@ def calls_hwe(spark: SparkSession, d: str) -> DataFrame:
     return counts.withColumn("p", F.round(stats.hwe_exact("het", "hom", "other"), 6))
 
 
+ORACLES["calls_hwe"] = f"""
+with c as (select chrom, replace(string_split(sample_call, ':')[1], '|', '/') as gt from ({_CALLS})),
+n as (select chrom, count(*) filter (gt = '0/1') as het, count(*) filter (gt = '1/1') as hom, count(*) filter (gt = '1/2') as other from c group by chrom),
+h as (select *, het + hom + other as n, 2 * least(hom, other) + het as rare from n),
+x as (select *, unnest(range(rare % 2, rare + 1, 2)) as h from h),
+l as (select *, lgamma(n + 1) - lgamma(h + 1) - lgamma((rare - h) // 2 + 1) - lgamma(n - h - (rare - h) // 2 + 1) + h * ln(2.0) as ln from x),
+p as (select *, exp(ln - max(ln) over (partition by chrom)) as p from l),
+o as (select *, max(p) filter (h = het) over (partition by chrom) as own from p)
+select chrom, het, hom, other, round(least(1.0, sum(p) filter (p <= own * (1 + 1e-12)) / sum(p)), 6) as p from o group by chrom, het, hom, other
+"""
+
+
 @query
 def calls_indel_support(spark: SparkSession, d: str) -> DataFrame:
     """Read support of the indel calls, against the reads' own consensus as reference."""
