@@ -134,6 +134,14 @@ select run_id, field_tag from v group by run_id, field_tag
 having (field_tag = 'DP' and (quantile_disc(v, 0.5) < 20 or quantile_disc(v, 0.5) > 60)) or (field_tag = 'QD' and quantile_disc(v, 0.1) < 18)
   or (field_tag = 'QUAL' and quantile_disc(v, 0.9) < 400)
 """
+_RANKS = "[0.05, 0.25, 0.5, 0.75, 0.95]"
+_P4_LIST = """
+, q as (select {g}, field_tag, count(v) as n, quantile_disc(v, {r}) as vs from v group by {g}, field_tag)
+select {g}, field_tag, n, cast(unnest({r}) as double) as rank, unnest(vs) as value from q
+"""
+ORACLES["p4_run_percentiles"] = _P4 + _P4_LIST.format(g="run_id", r=_RANKS)
+_NAMED = "(select v.info, v.qual, d.chrom as seq_name from vcf v join seq_dict d on lower(trim(v.chrom)) in (lower(trim(d.chrom)), lower(trim(d.short_name))))"
+ORACLES["p4_sequence_percentiles"] = _P4.replace("run_id", "seq_name").replace("from vcf", "from " + _NAMED) + _P4_LIST.format(g="seq_name", r=_RANKS)
 
 # problem 7
 
