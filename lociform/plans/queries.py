@@ -350,6 +350,32 @@ ORACLES["pileup_coverage"] = _PILED + f"""
 select n.chrom, coalesce(covered, 0) as covered, length, coalesce(covered, 0) / length < 0.1 as is_sparse from n left join c on n.chrom = c.chrom
 """
 
+
+
+@query
+def pileup_realigned(spark: SparkSession, d: str) -> DataFrame:
+    """Pileup with the observations of the first lines added once more inside a stretch of positions."""
+    rows = observed(spark, d).select("chrom", "pos", "code", "weight", "forward", "l_linenumber")
+    more = pileup.realign(rows.drop("l_linenumber"), rows.where("l_linenumber = 1").drop("l_linenumber"), 50, 150)
+    return more.select("chrom", "pos", *[F.col(x)[k].alias(f"{x}{k}") for x in "wfr" for k in range(4)])
+
+
+ORACLES["pileup_realigned"] = _OBSERVED + ", twice as (select * from obs union all select * from obs where l_linenumber = 1 and pos between 50 and 150) select chrom, pos, " + ", ".join(
+    [f"cast(coalesce(sum(weight) filter (code = {k}), 0) as bigint) as w{k}" for k in range(4)]
+    + [f"count(*) filter (code = {k} and forward) as f{k}" for k in range(4)] + [f"count(*) filter (code = {k} and not forward) as r{k}" for k in range(4)]
+) + " from twice group by chrom, pos"
+
+
+@query
+def reads_clips_less_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Clips of all reads less those of the reads marked as duplicates."""
+    r = table(spark, d, "aligned_reads")
+    unmarked = r.withColumn("flag", F.col("flag").bitwiseAND(~1024))
+    return pileup.clip_counts(reads.soft_clips(unmarked), reads.soft_clips(unmarked.where(r["flag"].bitwiseAND(1024) != 0)))
+
+
+ORACLES["reads_clips_less_duplicates"] = ORACLES["reads_soft_clips"]
+
 # regions
 
 
@@ -605,6 +631,26 @@ ORACLES["flank_metrics"] = _flanks_sql(0)
 ORACLES["flank_metrics_strict"] = _flanks_sql(100)
 
 
+@query
+def neighbour_biases(spark: SparkSession, d: str) -> DataFrame:
+    """Biases at every position as if an indel of its own length began there: before, behind and at it."""
+    piled = pileup.pileup(observed(spark, d))
+    sites = piled.select("chrom", "pos", (F.col("pos") % 3).alias("skip"), F.lit(True).alias("is_indel"))
+    found = flanks.neighbour_biases(sites, piled)
+    each = F.arrays_zip(*[F.col(c) for c in ("sb", "sb1", "sb2", "bqb", "bqb1", "bqb2")])
+    cells = found.select("chrom", "pos", F.posexplode(each).alias("code", "x"))
+    return cells.select("chrom", "pos", "code", *[F.round(f"x.{c}", 6).alias(c) for c in ("sb", "sb1", "sb2", "bqb", "bqb1", "bqb2")])
+
+
+_BIASED = ORACLES["bias_by_base"].replace(" select chrom, pos, cast(code as int)", ", bb as (select chrom, pos, cast(code as int)") + ")"
+ORACLES["neighbour_biases"] = _BIASED + """
+, s as (select chrom, pos, pos % 3 as skip, unnest([0, 1, 2, 3]) as code from piled)
+select s.chrom, s.pos, s.code, coalesce(a.sb, 1.0) as sb, coalesce(b.sb, 1.0) as sb1, coalesce(c.sb, 1.0) as sb2, coalesce(a.bqb, 1.0) as bqb, coalesce(b.bqb, 1.0) as bqb1, coalesce(c.bqb, 1.0) as bqb2
+from s left join bb a on a.chrom = s.chrom and a.code = s.code and a.pos = s.pos - 1 left join bb b on b.chrom = s.chrom and b.code = s.code and b.pos = s.pos + s.skip
+  left join bb c on c.chrom = s.chrom and c.code = s.code and c.pos = s.pos
+"""
+
+
 @query
 def reference_runs(spark: SparkSession, d: str) -> DataFrame:
     return reference.base_runs(reference_bases(spark, d), tile=64).withColumnsRenamed({"start": "first_pos", "end": "end_pos"})
