@@ -588,6 +588,61 @@ def candidate_vcf(spark: SparkSession, d: str) -> DataFrame:
     return vcf.to_vcf(*_enriched(spark, d))
 
 
+@query
+def candidate_genotypes(spark: SparkSession, d: str) -> DataFrame:
+    """Alleles, quality and sample column of the VCF records."""
+    return candidate_vcf(spark, d).select("chrom", "pos", "ref_allele", "alt", "qual", "sample_call")
+
+
+def _records_sql() -> str:
+    """SQL of the records' alleles, quality and sample column, from the called sites on."""
+    site, model = ORACLES["genotype_calls"].split("\n, spec(", 1)
+    model = "\n, spec(" + model[: model.index("\nselect chrom, pos, substr")]
+    four = lambda x: f"cast(printf('%.4e', {x}) as double)"
+    names = "[" + ", ".join(f"'{g}'" for g in codes.GENOTYPES) + "]"
+    at = lambda array, allele: f"{array}[list_position(['A', 'C', 'G', 'T', 'X', 'Y'], {allele})]"
+    own, base = at("reads", "ref"), "reads[1] + reads[2] + reads[3] + reads[4] + th + tl"
+    one_ref, one_alt = "case when k1 = 'D' then ref || q1 else ref end", "case when k1 = 'D' then ref else ref || q1 end"
+    long, short = "case when l1 >= l2 then q1 else q2 end", "case when l1 >= l2 then q2 else q1 end"
+    rest = f"(substr({long}, 1, strpos({long}, {short}) - 1) || substr({long}, strpos({long}, {short}) + length({short})))"
+    two_ref = f"case k1 || k2 when 'DD' then case when l1 <> l2 and strpos({long}, {short}) > 0 then ref || {long} end when 'II' then ref when 'ID' then ref || q2 else ref || q1 end"
+    two_alt = f"case k1 || k2 when 'DD' then ref || ',' || ref || {rest} when 'II' then ref || q1 || ',' || ref || q2 when 'ID' then ref || ',' || ref || q2 || q1 else ref || ',' || ref || q1 || q2 end"
+    indel, het, hom = "gt like '%X%'", "(gt like '%' || ref || '%' and g1 <> g2)", "g1 = g2"
+    plan = [  # when, alts, counted, genotype, depth, REF, ALT
+        (f"not {indel} and {hom}", "[a]", "[a]", "1/1", base, "ref", "a"), (f"not {indel} and {het}", "[a]", "[ref, a]", "0/1", base, "ref", "a"),
+        (f"not {indel} and not {het} and not {hom}", "[a, b]", "[a, b]", "1/2", base, "ref", "a || ',' || b"), (f"{indel} and {hom}", "['X']", "['X']", "1/1", f"{base} - {own}", one_ref, one_alt),
+        (f"{indel} and {het}", "['X']", "[ref, 'X']", "0/1", f"{base} - {own} // 2", one_ref, one_alt), ("gt = 'XY'", "['X', 'Y']", "['X', 'Y']", "1/2", f"{base} - {own}", two_ref, two_alt),
+        (f"{indel} and not {het} and not {hom} and gt <> 'XY'", "['X']", "['X']", "0/1", f"{base} - {own}", one_ref, one_alt),
+        (f"{indel} and not {het} and not {hom} and gt <> 'XY'", "[a]", "[a]", "0/1", f"{base} - {own}", "ref", "a"),
+    ]
+    records = " union all ".join(f"select *, {alts} as alts, {cnt} as cnt, '{gt}' as gtx, {dp} as dp, {r} as ref_allele, {alt} as alt from j where {when}" for when, alts, cnt, gt, dp, r, alt in plan)
+    share = f"coalesce({four('qs[coalesce(list_position({0}, p), list_position({0}, reverse(p)))]'.format(names))} / opt, 0)"
+    phred = f"cast(case when {share} = 0 then 3080 else trunc(-10 * log10(least({share}, 1.0))) end as int)"
+    pairs = "case when len(alts) = 1 then [ref || ref, ref || alts[1], alts[1] || alts[1]] else [ref || ref, ref || alts[1], ref || alts[2], alts[1] || alts[1], alts[1] || alts[2], alts[2] || alts[2]] end"
+    counts = "select chrom, pos, " + ", ".join([f"coalesce(sum(weight) filter (code = {k}), 0) as w{k}, count(*) filter (code = {k}) as n{k}" for k in range(4)]) + " from obs group by chrom, pos"
+    pick = ", ".join(f"max({c}) filter (place = {i}) as {n}{i}" for i in (1, 2) for c, n in (("kind", "k"), ("length", "l"), ("seq", "q"), ("hq", "h"), ("lq", "o")))
+    gone = lambda i: f"case when k{i} = 'D' then substr(s, cast(j0.pos + 1 - lo + 1 as bigint), l{i}) else q{i} end"
+    return site + model + f"""
+, cal as (select chrom, pos, ref_code, max(gt) filter (i = 1) as gt, {four('max(q) filter (i = 1)')} as opt, {four('max(q) filter (i = 2)')} as sub, list(q order by g) as qs from rnk group by chrom, pos, ref_code),
+sx as (select chrom, min(pos) as lo, string_agg(substr('ACGT', cast(ref_code + 1 as bigint), 1), '' order by pos) as s from ({_REFERENCE}) group by chrom),
+tk as (select chrom, pos, sum(hq) as th, sum(lq) as tl from a group by chrom, pos), ik as (select chrom, pos, {pick} from k where place <= 2 group by chrom, pos), pc as ({counts}),
+j0 as (select cal.*, ik.* exclude (chrom, pos), coalesce(th, 0) as th, coalesce(tl, 0) as tl, substr('ACGT', cast(ref_code + 1 as bigint), 1) as ref, gt[1] as g1, gt[2] as g2,
+  [coalesce(n0, 0), coalesce(n1, 0), coalesce(n2, 0), coalesce(n3, 0), coalesce(h1 + o1, 0), coalesce(h2 + o2, 0)] as reads,
+  [coalesce(w0, 0), coalesce(w1, 0), coalesce(w2, 0), coalesce(w3, 0), coalesce(4 * h1, 0), coalesce(4 * h2, 0)] as depth
+  from cal left join ik on cal.chrom = ik.chrom and cal.pos = ik.pos left join tk on cal.chrom = tk.chrom and cal.pos = tk.pos left join pc on cal.chrom = pc.chrom and cal.pos = pc.pos),
+j as (select j0.* replace ({gone(1)} as q1, {gone(2)} as q2), case when g1 = ref then g2 else g1 end as a, g2 as b, lo, s from j0 join sx on j0.chrom = sx.chrom
+  where gt <> ref || ref and opt > 0 and sub > 0 and (gt not like '%X%' or k1 is not null) and (gt not like '%Y%' or k2 is not null)),
+rec as ({records}),
+num as (select *, list_sum(list_transform(cnt, lambda x: {at('depth', 'x')})) as nom, list_sum(list_transform(cnt, lambda x: {at('reads', 'x')})) as den, {pairs} as pairs from rec where ref_allele is not null),
+fin as (select *, -4.343 * ln(sub / opt) * (1 - log2(5 - nom / den) / log2(5)) as qu from num where den > 0 and substr(s, cast(pos - lo + 1 as bigint), length(ref_allele)) = ref_allele)
+select chrom, pos, ref_allele, alt, round(qu, 1) as qual, concat_ws(':', gtx, array_to_string(list_transform(list_concat([ref], alts), lambda x: {at('reads', 'x')}), ','), dp,
+  cast(floor(nom * 10 / den + 0.499) as bigint), array_to_string(list_transform(pairs, lambda p: {phred}), ',')) as sample_call from fin
+"""
+
+
+ORACLES["candidate_genotypes"] = _records_sql()
+
+
 def _flanks(spark: SparkSession, d: str, strict: bool) -> DataFrame:
     totals = pileup.site_totals(pileup.pileup(observed(spark, d)))
     sites = totals.select("chrom", "pos", (F.col("pos") % 3).alias("skip"))
