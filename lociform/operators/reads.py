@@ -146,8 +146,10 @@ def alignment_qc(reads: DataFrame, regions: DataFrame | None = None, config: Cal
         F.coalesce(F.sum(F.length("bases")), F.lit(0)).alias("total_read_length"),
         F.coalesce(F.sum(F.when(~unplaced, total("M"))), F.lit(0)).alias("total_aligned_length"),
     )
+    names = qc.columns
     if regions is None:
         return qc.withColumn("target_aligned_length", F.lit(None).cast("long"))
     untrimmed = CallerConfig(mapq_threshold=config.mapq_threshold, trim=0)
     hit = points_in_regions(aligned_bases(reads, untrimmed), regions).agg(F.count(F.lit(1)).alias("target_aligned_length"))
-    return qc.crossJoin(hit)  # one row each
+    both = qc.unionByName(hit, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in (*names, "target_aligned_length")])
