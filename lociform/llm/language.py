@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,13 +20,23 @@ _HASH = np.uint64(0x9E3779B97F4A7C15)
 SLOT_BITS = 20
 #: Labelled documents per language that the filters are made from, at most.
 PER_LANGUAGE = 300
+#: An n-gram is a language's own if its share of documents is at least this part of the largest share among the languages.
+LEAST_SHARE = 0.1
 #: A line counts at most so many n-grams against a language, and a change of language costs so many.
 LINE_CAP, SWITCH = 12.0, 24.0
 #: Lines that a further language needs to be held.
 LEAST_LINES = 8
 #: Bytes whose n-grams are held at once, so that a very long text needs little more memory than itself.
 STEP = 1 << 19
-
+#: Away from the stretches: a line's least lead for a further language, and the cost of a change where only languages with such lines compete.
+CLEAR, ISLAND = 4.0, 2.0
+
+#: What belongs to the language around it: remarks of several lines, those behind code, single-line strings, text in tags.
+_INNER = re.compile(
+    r"""/\*.*?(?:\*/|\Z)|<!--.*?(?:-->|\Z)|^[ \t]*[rRuU]?(?P<doc>\"{3}|'{3}).*?(?:(?P=doc)|\Z)|(?<=[ \t;])(?://|\#|--)[ \t][^\n]*"""
+    r"""|"(?:[^"\\\n]|\\.)*"|(?<!\w)'(?:[^'\\\n]|\\.)*'(?!\w)|`[^`\n]*`|(?<=>)[^<>\n]*(?=</)|(?<=>)[^<>]*(?=</(?:p|li|td|th|div|span|h\d|a|b|i|em|title)>)""",
+    re.S | re.M,
+)
 _PLAIN = bytes(48 if 48 <= c <= 57 else 32 if c in (9, 11, 12, 13) else c for c in range(256))
 
 
@@ -170,36 +181,116 @@ def smooth(scores: np.ndarray, of: np.ndarray, switch: float) -> np.ndarray:
     return labels
 
 
-def label_lines(texts: list[str], filters: Filters) -> pd.DataFrame:
-    """A row per run of lines in one language: of, first, last, n_lines, lang, margin, best.
+@dataclass
+class Labelled:
+    """Lines of some texts that aren't blank: n-grams by language, whether a line bears no score, and its smoothed language."""
 
-    Blank lines have no language. Remarks belong to the language around them: they bear no
-    score unless a text holds nothing else. ``best`` is the sum of the run's n-grams in its
-    language, ``margin`` its lead over the next language.
-    """
+    of: np.ndarray
+    line_no: np.ndarray
+    counts: np.ndarray
+    silent: np.ndarray
+    lang: np.ndarray
+
+
+def _counted(texts: list[str], filters: Filters) -> tuple[Lines, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines, places of those that aren't blank, their n-grams, and which of them are remarks in a text with other lines."""
     lines = read_lines(texts)
-    counts = filters.counts(lines)
     use = np.flatnonzero(~lines.blank)
-    if not len(use):
-        return pd.DataFrame({c: [] for c in ("of", "first", "last", "n_lines", "lang", "margin", "best")})
-    counts, of, remark, line_no = counts[use], lines.of[use], lines.remark[use], lines.line_no[use]
+    of, remark = lines.of[use], lines.remark[use]
     only = np.bincount(of, weights=~remark, minlength=len(texts)) == 0
-    silent = remark & ~only[of]
+    return lines, use, filters.counts(lines)[use], remark & ~only[of]
+
+
+def _scores(counts: np.ndarray, silent: np.ndarray) -> np.ndarray:
     scores = np.maximum(counts - counts.max(1, keepdims=True), -LINE_CAP)
     scores[silent] = 0
-    lang = smooth(scores, of, SWITCH)
+    return scores
+
+
+def smoothed(texts: list[str], filters: Filters) -> Labelled:
+    """Remarks belong to the language around them: they bear no score unless a text holds nothing else."""
+    lines, use, counts, silent = _counted(texts, filters)
+    of = lines.of[use]
+    lang = smooth(_scores(counts, silent), of, SWITCH) if len(use) else np.zeros(0, np.int64)
+    return Labelled(of, lines.line_no[use], counts, silent, lang)
+
+
+def _runs(x: Labelled) -> pd.DataFrame:
+    if not len(x.of):
+        return pd.DataFrame({c: [] for c in ("of", "first", "last", "n_lines", "lang", "margin", "best")})
+    of, lang = x.of, x.lang
     runs = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (lang[1:] != lang[:-1]))))
-    sums = np.add.reduceat(np.where(silent[:, None], 0, counts), runs, axis=0)
+    sums = np.add.reduceat(np.where(x.silent[:, None], 0, x.counts), runs, axis=0)
     own = lang[runs]
     best = sums[np.arange(len(runs)), own]
     sums[np.arange(len(runs)), own] = -1
     ends = np.concatenate((runs[1:], [len(of)]))
     return pd.DataFrame({
-        "of": of[runs], "first": line_no[runs], "last": line_no[ends - 1], "n_lines": ends - runs,
+        "of": of[runs], "first": x.line_no[runs], "last": x.line_no[ends - 1], "n_lines": ends - runs,
         "lang": own, "margin": best - np.maximum(sums.max(1), 0), "best": best,
     })
 
 
+def label_lines(texts: list[str], filters: Filters) -> pd.DataFrame:
+    """A row per run of lines in one language: of, first, last, n_lines, lang, margin, best.
+
+    Blank lines have no language. ``best`` is the sum of the run's n-grams in its
+    language, ``margin`` its lead over the next language.
+    """
+    return _runs(smoothed(texts, filters))
+
+
+def _clear(counts: np.ndarray, of: np.ndarray, silent: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Clear lines and their leads over all languages held, by text and language."""
+    top = counts.argmax(1)
+    most = counts[np.arange(len(of)), top]
+    lead = most - np.where(held[of], counts, 0).max(1)
+    at = np.flatnonzero(~silent & (lead >= CLEAR) & (2 * lead >= most))
+    n, total = np.zeros(held.shape), np.zeros(held.shape)
+    np.add.at(n, (of[at], top[at]), 1)
+    np.add.at(total, (of[at], top[at]), lead[at])
+    return n, total
+
+
+def held_languages(texts: list[str], filters: Filters, least_lines: int = LEAST_LINES) -> pd.DataFrame:
+    """A row per text and language held, the main one first: of, lang, n_lines, margin, best.
+
+    The stretches of the smoothed lines give the main language and those that fill
+    ``least_lines`` lines. Further ones are sought line by line, wherever they stand: where
+    lines clearly lead for another language, the text is counted again without what
+    belongs to the language around it (``_INNER``), and its lines go to the languages
+    that still have such leads at a low cost of change.
+    """
+    found = smoothed(texts, filters)
+    per = _runs(found).groupby(["of", "lang"], as_index=False)[["n_lines", "margin", "best"]].sum()
+    per = per[per["best"] > 0].sort_values(["of", "n_lines", "best"], ascending=[True, False, False])
+    per = per[~per["of"].duplicated() | (per["n_lines"] >= least_lines)]
+    if not len(per):
+        return per
+    held = np.zeros((len(texts), len(filters.languages)), bool)
+    held[per["of"].astype(int), per["lang"].astype(int)] = True
+    least = least_lines / 2
+
+    def sought(n: np.ndarray, total: np.ndarray) -> np.ndarray:
+        return (n >= least) & (total >= SWITCH)
+
+    again = np.flatnonzero(sought(*_clear(found.counts, found.of, found.silent, held)).any(1) & held.any(1))
+    if not len(again):
+        return per
+    lines, use, counts, silent = _counted([_INNER.sub(_hidden, texts[i]) for i in again], filters)
+    of, known = lines.of[use], held[again]
+    new = sought(*_clear(counts, of, silent, known))
+    scores = np.where((known | new)[of], counts, -1)
+    lang = smooth(np.where(scores < 0, -1e9, _scores(scores, silent)), of, ISLAND)
+    more = _runs(Labelled(of, lines.line_no[use], counts, silent, lang)).groupby(["of", "lang"], as_index=False)[["n_lines", "margin", "best"]].sum()
+    more = more[new[more["of"], more["lang"]] & (more["n_lines"] >= least_lines)].assign(of=lambda x: again[x["of"]])
+    return pd.concat([per, more]).sort_values("of", kind="stable", ignore_index=True)
+
+
+def _hidden(m: re.Match) -> str:
+    return "\n" * m[0].count("\n") or " "
+
+
 def _blocks(part: pd.DataFrame, chars: int = 300_000) -> Iterator[tuple[np.ndarray, list[str]]]:
     texts = part["words"].tolist()
     ends = np.cumsum([len(t) for t in texts])
@@ -230,7 +321,9 @@ def fit_filters(docs: DataFrame, labels: DataFrame, names: DataFrame, per_langua
 
     An n-gram is put into a language's filter if at least 1 % of the language's sampled
     documents have it (two at least, where there are four or more), remarks aside; so
-    wrong labels leave hardly a trace. What comes to the driver is bounded by the
+    wrong labels leave hardly a trace. It must have ``LEAST_SHARE`` of the share that the
+    language with most of it has, too, so that documents which hold another language don't
+    put that one's n-grams in. What comes to the driver is bounded by the
     sample: ``per_language`` documents of each language of ``names``.
     """
     languages = sorted(r[0] for r in names.select("lang_code").distinct().limit(65).collect())
@@ -256,7 +349,10 @@ def fit_filters(docs: DataFrame, labels: DataFrame, names: DataFrame, per_langua
     least = F.greatest(F.when(F.col("_docs") >= 4, 2).otherwise(1), F.ceil(F.col("_docs") * 0.01))
     bit = F.create_map(*[x for i, code in enumerate(languages) for x in (F.lit(code), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long"))])
     kept = seen.join(F.broadcast(docs_of), "lang_code").where(F.col("n") >= least)
-    masks = kept.groupBy("gram").agg(F.bit_or(F.try_element_at(bit, F.col("lang_code"))).alias("mask")).toPandas()
+    each = kept.select("gram", F.try_element_at(bit, F.col("lang_code")).alias("bit"), (F.col("n") / F.col("_docs")).alias("share"))
+    per = each.groupBy("gram").agg(F.collect_list(F.struct("bit", "share")).alias("in"), F.max("share").alias("top"))
+    own = F.filter("in", lambda x: x["share"] >= F.col("top") * LEAST_SHARE)
+    masks = per.select("gram", F.aggregate(own, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x["bit"])).alias("mask")).toPandas()
     return Filters.build(languages, masks["gram"].to_numpy(np.int64), masks["mask"].to_numpy(np.int64))
 
 
@@ -275,7 +371,7 @@ def document_languages(docs: DataFrame, names: DataFrame, filters: Filters, leas
     Every line gets the languages that contain its n-grams from the filters; counts,
     corrected for false positives, decide line by line, smoothed over the document. The
     main language has the most lines; a further one is held from ``least_lines`` lines
-    together. ``confidence`` is the share of the language's n-grams by which it leads the
+    together, wherever they stand (``held_languages``). ``confidence`` is the share of the language's n-grams by which it leads the
     next language. Null and blank texts give no row; neither do texts without a single
     known n-gram. Whole texts are read in one pass without a shuffle.
     """
@@ -283,12 +379,9 @@ def document_languages(docs: DataFrame, names: DataFrame, filters: Filters, leas
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for at, texts in _blocks(part):
-                runs = label_lines(texts, filters)
-                per = runs.groupby(["of", "lang"], as_index=False)[["n_lines", "margin", "best"]].sum()
-                per = per[per["best"] > 0].sort_values(["of", "n_lines", "best"], ascending=[True, False, False])
+                per = held_languages(texts, filters, least_lines)
                 if not len(per):
                     continue
-                per = per[~per["of"].duplicated() | (per["n_lines"] >= least_lines)]
                 code = pd.Series(np.array(filters.languages)[per["lang"].astype(int)], index=per.index)
                 rows = at[per["of"].astype(int)]
                 yield pd.DataFrame({

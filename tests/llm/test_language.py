@@ -94,3 +94,30 @@ def test_edges(spark, tables, filters):
 def test_sample_is_bounded(tables):
     n = {r["lang_code"]: r["count"] for r in G.labelled_sample(*tables, per_language=5).groupBy("lang_code").count().collect()}
     assert len(n) == 20 and max(n.values()) <= 5
+
+
+def test_scattered_lines_of_a_further_language(filters):
+    german = "Der Bericht liest alle Gewichte und behält die sortierten Dateien.\n"
+    python = "    return sorted(x.get('a', 1) for i, x in enumerate(y))\n    if not isinstance(x, dict):\n"
+    whole = lambda own, more, n, k: "".join(own * 6 + more * k for _ in range(n))
+    code = "    for key, item in self.items():\n        yield key, item[1]\n"
+    texts = [
+        whole(german, python, 2, 2), whole(german, python[: python.index("\n") + 1], 10, 1), whole(code, german, 10, 1), whole(code, german, 2, 4),
+        german * 30, code * 30, whole(code, german, 7, 1),
+        whole(code, "    # " + german, 10, 1), whole(code, "    print('" + german[:-1] + "')\n", 10, 1), whole(code, '    """' + german[:-1] + '"""\n', 10, 1),
+        whole('<div class="a"><ul><li><a href="b.html">c</a></li></ul></div>\n', "<p>" + german[:-1] + "</p>\n", 10, 1),
+    ]
+    held = G.held_languages(texts, filters)
+    got = {i: {filters.languages[int(k)] for k in g} for i, g in held.groupby("of")["lang"]}
+    assert [got[i] for i in range(len(texts))] == [{"de", "python"}] * 4 + [{"de"}, {"python"}, {"python"}] + [{"python"}] * 3 + [{"html"}]
+
+
+def test_filters_hold_their_own_language(spark):
+    """Documents that hold another language too don't make its n-grams the first one's."""
+    english, spanish = "The tool keeps the counts for both strands.\n", "La herramienta guarda las cuentas de las dos hebras.\n"
+    texts = [("en", english)] * 45 + [("en", english + spanish)] * 3 + [("es", spanish)] * 40
+    docs = spark.createDataFrame([(i, t, c) for i, (c, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "lang as lang_code")
+    f = G.fit_filters(docs, labels, spark.createDataFrame([("en", "en"), ("es", "es")], "lang_code string, spelling string"))
+    counts = f.counts(G.read_lines([english + spanish]))
+    assert counts[0, 0] > 30 > 5 > counts[0, 1] and counts[1, 1] > 30 > 5 > counts[1, 0]
