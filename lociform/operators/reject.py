@@ -10,7 +10,7 @@ SCHEMA = ", ".join(f"{f} {'bigint' if f == 'pos' else 'double' if f == 'qual' el
 TEXTS = ", ".join(f"{f} string" for f in FIELDS)
 _CSV = {"sep": "\t", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"}
 _NUMBER = r"[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?"
-#: Lines with more tabs than this aren't given to the CSV reader, whose columns are bounded; they fail by count.
+#: Lines with more tabs outside quotes than this aren't given to the CSV reader, whose columns are bounded; they fail by count.
 _MOST_TABS = 1000
 
 
@@ -37,7 +37,7 @@ def parse_records(df: DataFrame, ident: str, line: str) -> DataFrame:
     # quoted fields give way to a bare token; a quote that is left over is broken
     bare = F.when(raw.contains('"'), F.regexp_replace(raw, r'(^|\t)"[^"]*+(?:""[^"]*+)*+"(?=\t|\z)', "$1q")).otherwise(raw)
     tabs = F.length("_bare") - F.length(F.replace("_bare", F.lit("\t"), F.lit("")))
-    readable = F.length(raw) - F.length(F.replace(raw, F.lit("\t"), F.lit(""))) <= _MOST_TABS
+    readable = F.length(bare) - F.length(F.replace(bare, F.lit("\t"), F.lit(""))) <= _MOST_TABS
     typed = F.when(readable, F.from_csv(raw, SCHEMA, _CSV | {"columnNameOfCorruptRecord": "_corrupt", "nullValue": "."}))
     fields = F.split(raw, "\t")
     quoted = F.when(readable & raw.contains('"'), F.from_csv(raw, TEXTS, _CSV | {"emptyValue": "", "nullValue": "\u0000"}))

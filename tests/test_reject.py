@@ -76,3 +76,9 @@ def test_long_quotes_and_repeats(spark):
 
 def test_empty_table(spark):
     assert parse_records(spark.createDataFrame([], "line_id long, line string"), "line_id", "line").count() == 0
+
+
+def test_many_tabs_inside_quotes(spark):
+    lines = [line(id='"' + "a\t" * 3_000 + '"'), line(id='"' + "a\t" * 3_000 + '"', pos="0"), "x" + "\t" * 3_000]
+    got = parse_records(table(spark, lines), "line_id", "line").orderBy("ident").collect()
+    assert [r.reason for r in got] == [None, "pos", "columns"] and got[0].id == "a\t" * 3_000 and got[0].pos == 10
