@@ -120,10 +120,12 @@ def indel_support(vcf: DataFrame, ident: str, reads: DataFrame, chunks: DataFram
     alts = vcf.select(F.col(ident).alias("ident"), "chrom", "pos", "ref_allele", F.explode(F.split("alt", ",")).alias("alt"))
     diff = F.length("alt") - F.length("ref_allele")
     indels = alts.where((diff != 0) & ~F.col("alt").startswith("<")).withColumn("kind", F.when(diff > 0, "I").otherwise("D")).withColumn("n", F.abs(diff))
-    # the nine bases before the indel and those after it, from a start that lies in one chunk
+    # the bases up to the record's position and the nine behind the indel, each from a start that lies in one chunk
     back = F.least(F.col("pos") - 1, F.lit(15))
     moved = indels.select("ident", "chrom", "alt", "kind", "n", F.col("pos").alias("at"), (F.col("pos") - back).alias("pos"))
-    around = slices(moved, chunks, {"ref_text": (F.lit(0), F.lit(290))}).select("ident", "chrom", "alt", "kind", "n", F.col("at").alias("pos"), (F.col("at") - F.col("pos")).cast("int").alias("lead"), "ref_text")
+    left_side = slices(moved, chunks, {"ref_text": (F.lit(0), F.lit(16))}).withColumn("lead", (F.col("at") - F.col("pos")).cast("int"))
+    behind = left_side.withColumn("pos", F.col("at") + F.when(F.col("kind") == "D", F.col("n")).otherwise(0))
+    around = slices(behind, chunks, {"right_text": (F.lit(2), F.lit(9))}).select("ident", "chrom", "alt", "kind", "n", F.col("at").alias("pos"), "lead", "ref_text", "right_text")
 
     def add(acc: Column, o: Column) -> Column:
         both = o["op"].isin("M", "D")
@@ -147,12 +149,12 @@ def indel_support(vcf: DataFrame, ident: str, reads: DataFrame, chunks: DataFram
     left, right = F.when(left_gap <= near, left_gap).otherwise(10), F.when(right_gap <= near, right_gap).otherwise(10)
     ref_at = lambda i: F.substring("ref_text", F.col("lead") + i + 1, F.lit(1))  # noqa: E731 (i counts from the record's position)
     read_at = lambda i: F.substring(bases, i + 1, F.lit(1))
-    ro, shift = F.col("hit.r"), F.when(F.col("kind") == "D", F.col("n")).otherwise(0)
+    ro = F.col("hit.r")
     skip = F.when(F.col("kind") == "I", F.col("n")).otherwise(0)
-    differs = lambda r, g: (r >= 0) & (r < F.length(bases)) & (ref_at(g) != "") & (ref_at(g) != read_at(r))
+    differs = lambda r, ref: (r >= 0) & (r < F.length(bases)) & (ref != "") & (ref != read_at(r))
     steps = F.sequence(F.lit(1), F.lit(9))
-    wrong_left = F.exists(steps, lambda i: (i < left) & (F.col("lead") + 1 - i >= 0) & differs(ro - i, 1 - i))
-    wrong_right = F.exists(steps, lambda i: (i < right) & differs(ro + skip + i, 1 + shift + i))
+    wrong_left = F.exists(steps, lambda i: (i < left) & (F.col("lead") + 1 - i >= 0) & differs(ro - i, ref_at(1 - i)))
+    wrong_right = F.exists(steps, lambda i: (i < right) & differs(ro + skip + i, F.substring("right_text", i, F.lit(1))))
     reverse = F.col("read.flag").bitwiseAND(16) != 0
     counts = hits.groupBy("ident", "alt").agg(
         F.count_if(~reverse).alias("pos_count"), F.count_if(reverse).alias("neg_count"),

@@ -110,6 +110,19 @@ def test_indel_support(spark):
     assert got == [(1, REF[23], 2, 1, 1, 1), (3, "AT", 0, 0, 0, 0), (3, "ATT", 0, 0, 0, 0)]
 
 
+def test_indel_support_right_of_a_long_deletion(spark):
+    seq = "ACGGTCATTGCA" * 500
+    calls, reads_ = [], []
+    for k, (pos, n) in enumerate([(100, 400), (3900, 400)]):  # the second one's right flank lies in the next chunk
+        before, after = seq[pos - 20 : pos], seq[pos + n : pos + n + 20]
+        calls.append((k, "c", pos, seq[pos - 1 : pos + n], seq[pos - 1]))
+        reads_ += [(f"{k}{i}", 0, "c", pos - 19, 60, f"20M{n}D20M", before + b, [30] * 40) for i, b in enumerate([after, after[:4] + "?" + after[5:], after[:15] + "?" + after[16:]])]
+    chunks = spark.createDataFrame([("c", 0, seq[: 4096 + 300]), ("c", 1, seq[4096:])], "chrom string, chunk long, seq string")
+    df = spark.createDataFrame(calls, "rec_id long, chrom string, pos long, ref_allele string, alt string")
+    got = rows(vcf_filter.indel_support(df, "rec_id", spark.createDataFrame(reads_, READS), chunks))
+    assert [r[0:1] + r[2:] for r in got] == [(0, 3, 0, 1, 0), (1, 3, 0, 1, 0)]
+
+
 def _bgzf(data):
     out = b""
     for part in [data[i : i + 100] for i in range(0, len(data), 100)] + [b""]:
