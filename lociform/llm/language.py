@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -22,14 +22,19 @@ SLOT_BITS = 20
 PER_LANGUAGE = 300
 #: An n-gram is a language's own if its share of documents is at least this part of the largest share among the languages.
 LEAST_SHARE = 0.1
+#: The same for the first filters, which only tell the sampled documents' own lines from those of other languages in them.
+FIRST_SHARE = 0.5
+#: Parts of a language's labelled documents that are ranked by themselves before the best of each are.
+SAMPLE_PARTS = 64
 #: A line counts at most so many n-grams against a language, and a change of language costs so many.
 LINE_CAP, SWITCH = 12.0, 24.0
 #: Lines that a further language needs to be held.
 LEAST_LINES = 8
 #: Bytes whose n-grams are held at once, so that a very long text needs little more memory than itself.
 STEP = 1 << 19
-#: Away from the stretches: a line's least lead for a further language, and the cost of a change where only languages with such lines compete.
-CLEAR, ISLAND = 4.0, 2.0
+#: Away from the stretches: a line's least lead for a further language, the least share of its n-grams that must be that language's,
+#: and the cost of a change where only languages with such lines compete.
+CLEAR, COVER, ISLAND = 4.0, 0.4, 2.0
 
 #: What belongs to the language around it: remarks of several lines, those behind code, single-line strings, text in tags.
 _INNER = re.compile(
@@ -115,9 +120,13 @@ class Filters:
     @classmethod
     def build(cls, languages: list[str], grams: np.ndarray, masks: np.ndarray) -> Filters:
         """From n-grams and, for each, the languages that contain it as bits."""
+        at = np.concatenate(cls.slots_of(grams.astype(np.uint64)))
+        return cls.of_slots(languages, at, np.concatenate((masks, masks)))
+
+    @classmethod
+    def of_slots(cls, languages: list[str], at: np.ndarray, masks: np.ndarray) -> Filters:
         slots = np.zeros(1 << SLOT_BITS, np.uint64)
-        for at in cls.slots_of(grams.astype(np.uint64)):
-            np.bitwise_or.at(slots, at, masks.astype(np.uint64))
+        np.bitwise_or.at(slots, at, masks.astype(np.uint64))
         full = np.array([np.count_nonzero(slots & np.uint64(1 << i)) for i in range(len(languages))]) / len(slots)
         return cls(languages, slots.astype(np.uint32) if len(languages) <= 32 else slots, full**2)
 
@@ -183,22 +192,24 @@ def smooth(scores: np.ndarray, of: np.ndarray, switch: float) -> np.ndarray:
 
 @dataclass
 class Labelled:
-    """Lines of some texts that aren't blank: n-grams by language, whether a line bears no score, and its smoothed language."""
+    """Lines of some texts that aren't blank: n-grams, those by language, whether a line bears no score, and its smoothed language."""
 
     of: np.ndarray
     line_no: np.ndarray
+    n_grams: np.ndarray
     counts: np.ndarray
     silent: np.ndarray
     lang: np.ndarray
 
 
-def _counted(texts: list[str], filters: Filters) -> tuple[Lines, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines, places of those that aren't blank, their n-grams, and which of them are remarks in a text with other lines."""
+def _counted(texts: list[str], filters: Filters) -> Labelled:
+    """Lines without their languages; remarks in a text with other lines bear no score."""
     lines = read_lines(texts)
     use = np.flatnonzero(~lines.blank)
     of, remark = lines.of[use], lines.remark[use]
     only = np.bincount(of, weights=~remark, minlength=len(texts)) == 0
-    return lines, use, filters.counts(lines)[use], remark & ~only[of]
+    n_grams = np.diff(np.concatenate((lines.heads, [len(lines.raw)]))) - GRAM + 1
+    return Labelled(of, lines.line_no[use], n_grams[use], filters.counts(lines)[use], remark & ~only[of], np.zeros(len(use), np.int64))
 
 
 def _scores(counts: np.ndarray, silent: np.ndarray) -> np.ndarray:
@@ -209,10 +220,8 @@ def _scores(counts: np.ndarray, silent: np.ndarray) -> np.ndarray:
 
 def smoothed(texts: list[str], filters: Filters) -> Labelled:
     """Remarks belong to the language around them: they bear no score unless a text holds nothing else."""
-    lines, use, counts, silent = _counted(texts, filters)
-    of = lines.of[use]
-    lang = smooth(_scores(counts, silent), of, SWITCH) if len(use) else np.zeros(0, np.int64)
-    return Labelled(of, lines.line_no[use], counts, silent, lang)
+    x = _counted(texts, filters)
+    return replace(x, lang=smooth(_scores(x.counts, x.silent), x.of, SWITCH)) if len(x.of) else x
 
 
 def _runs(x: Labelled) -> pd.DataFrame:
@@ -240,15 +249,15 @@ def label_lines(texts: list[str], filters: Filters) -> pd.DataFrame:
     return _runs(smoothed(texts, filters))
 
 
-def _clear(counts: np.ndarray, of: np.ndarray, silent: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _clear(x: Labelled, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Clear lines and their leads over all languages held, by text and language."""
-    top = counts.argmax(1)
-    most = counts[np.arange(len(of)), top]
-    lead = most - np.where(held[of], counts, 0).max(1)
-    at = np.flatnonzero(~silent & (lead >= CLEAR) & (2 * lead >= most))
+    top = x.counts.argmax(1)
+    most = x.counts[np.arange(len(x.of)), top]
+    lead = most - np.where(held[x.of], x.counts, 0).max(1)
+    at = np.flatnonzero(~x.silent & (lead >= CLEAR) & (2 * lead >= most) & (most >= COVER * x.n_grams))
     n, total = np.zeros(held.shape), np.zeros(held.shape)
-    np.add.at(n, (of[at], top[at]), 1)
-    np.add.at(total, (of[at], top[at]), lead[at])
+    np.add.at(n, (x.of[at], top[at]), 1)
+    np.add.at(total, (x.of[at], top[at]), lead[at])
     return n, total
 
 
@@ -274,15 +283,14 @@ def held_languages(texts: list[str], filters: Filters, least_lines: int = LEAST_
     def sought(n: np.ndarray, total: np.ndarray) -> np.ndarray:
         return (n >= least) & (total >= SWITCH)
 
-    again = np.flatnonzero(sought(*_clear(found.counts, found.of, found.silent, held)).any(1) & held.any(1))
+    again = np.flatnonzero(sought(*_clear(found, held)).any(1) & held.any(1))
     if not len(again):
         return per
-    lines, use, counts, silent = _counted([_INNER.sub(_hidden, texts[i]) for i in again], filters)
-    of, known = lines.of[use], held[again]
-    new = sought(*_clear(counts, of, silent, known))
-    scores = np.where((known | new)[of], counts, -1)
-    lang = smooth(np.where(scores < 0, -1e9, _scores(scores, silent)), of, ISLAND)
-    more = _runs(Labelled(of, lines.line_no[use], counts, silent, lang)).groupby(["of", "lang"], as_index=False)[["n_lines", "margin", "best"]].sum()
+    x, known = _counted([_INNER.sub(_hidden, texts[i]) for i in again], filters), held[again]
+    new = sought(*_clear(x, known))
+    scores = np.where((known | new)[x.of], x.counts, -1)
+    lang = smooth(np.where(scores < 0, -1e9, _scores(scores, x.silent)), x.of, ISLAND)
+    more = _runs(replace(x, lang=lang)).groupby(["of", "lang"], as_index=False)[["n_lines", "margin", "best"]].sum()
     more = more[new[more["of"], more["lang"]] & (more["n_lines"] >= least_lines)].assign(of=lambda x: again[x["of"]])
     return pd.concat([per, more]).sort_values("of", kind="stable", ignore_index=True)
 
@@ -304,56 +312,74 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, names: DataFrame, per_la
     """``doc_id, lang_code`` of at most ``per_language`` documents of each language.
 
     Checked labels come first; documents whose own label is a known spelling fill up.
-    Within each kind the choice goes by a hash of the identifier. The ranking keeps its
-    ``per_language`` best per task before it shuffles.
+    Within each kind the choice goes by a hash of the identifier. Parts of a language by
+    hash are ranked first, so that no task ranks more than ``per_language`` documents of
+    each part.
     """
     checked = labels.select("doc_id", "lang_code", F.lit(0).alias("_kind"))
     known = names.select(F.lower(F.trim("spelling")).alias("_s"), "lang_code")
     own = docs.join(known, F.lower(F.trim("lang")) == F.col("_s")).select("doc_id", "lang_code", F.lit(1).alias("_kind"))
     own = own.join(small_side(checked.select("doc_id"), 1_000_000), "doc_id", "left_anti")
-    order = Window.partitionBy("lang_code").orderBy("_kind", F.xxhash64("doc_id"), "doc_id")
-    ranked = checked.unionByName(own).where("lang_code is not null").withColumn("_rank", F.row_number().over(order))
-    return ranked.where(F.col("_rank") <= per_language).select("doc_id", "lang_code")
+    ranked, order = checked.unionByName(own).where("lang_code is not null"), ("_kind", F.xxhash64("doc_id"), "doc_id")
+    for part in ((F.col("lang_code"), F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_PARTS))), (F.col("lang_code"),)):
+        place = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
+        ranked = ranked.withColumn("_rank", place).where(F.col("_rank") <= per_language)
+    return ranked.select("doc_id", "lang_code")
 
 
-def fit_filters(docs: DataFrame, labels: DataFrame, names: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
-    """Filters from a bounded sample of labelled documents.
+def _fitted(texts: DataFrame, docs_of: DataFrame, languages: list[str], least_share: float, first: Filters | None = None) -> Filters:
+    """Filters from ``lang_code, words``; with ``first``, from those lines only that are in the text's language by these."""
 
-    An n-gram is put into a language's filter if at least 1 % of the language's sampled
-    documents have it (two at least, where there are four or more), remarks aside; so
-    wrong labels leave hardly a trace. It must have ``LEAST_SHARE`` of the share that the
-    language with most of it has, too, so that documents which hold another language don't
-    put that one's n-grams in. What comes to the driver is bounded by the
-    sample: ``per_language`` documents of each language of ``names``.
-    """
-    languages = sorted(r[0] for r in names.select("lang_code").distinct().limit(65).collect())
-    if len(languages) > 64:
-        raise ValueError("at most 64 languages")
-    sample = labelled_sample(docs, labels, names, per_language)
-    bound = per_language * len(languages)
-    texts = docs.select("doc_id", F.col("text").alias("words")).where("length(words) > 0").join(small_side(sample, bound), "doc_id")
+    def own(words: str, code: str) -> np.ndarray:
+        lines = read_lines([words])
+        keep = ~lines.remark
+        if first:
+            keep[np.flatnonzero(~lines.blank)[smoothed([words], first).lang != first.languages.index(code)]] = False
+        parts = [np.unique(g[keep[at]]) for g, at in lines.grams()]
+        return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
     def grams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for code, group in part.groupby("lang_code"):
-                each = []
-                for words in group["words"]:
-                    lines = read_lines([words])
-                    parts = [np.unique(g[~lines.remark[at]]) for g, at in lines.grams()]
-                    each.append(np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64))
-                found, n = np.unique(np.concatenate(each), return_counts=True)
+                found, n = np.unique(np.concatenate([own(words, code) for words in group["words"]]), return_counts=True)
                 yield pd.DataFrame({"lang_code": code, "gram": found.astype(np.int64), "n": n})
 
+    def slots(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for at in Filters.slots_of(part["gram"].to_numpy(np.int64).astype(np.uint64)):
+                yield pd.DataFrame({"slot": at, "mask": part["mask"]})
+
     seen = texts.mapInPandas(grams, "lang_code string, gram long, n long").groupBy("lang_code", "gram").agg(F.sum("n").alias("n"))
-    docs_of = sample.groupBy("lang_code").agg(F.count(F.lit(1)).alias("_docs"))
     least = F.greatest(F.when(F.col("_docs") >= 4, 2).otherwise(1), F.ceil(F.col("_docs") * 0.01))
     bit = F.create_map(*[x for i, code in enumerate(languages) for x in (F.lit(code), F.lit(1 << i if i < 63 else -(1 << 63)).cast("long"))])
     kept = seen.join(F.broadcast(docs_of), "lang_code").where(F.col("n") >= least)
     each = kept.select("gram", F.try_element_at(bit, F.col("lang_code")).alias("bit"), (F.col("n") / F.col("_docs")).alias("share"))
     per = each.groupBy("gram").agg(F.collect_list(F.struct("bit", "share")).alias("in"), F.max("share").alias("top"))
-    own = F.filter("in", lambda x: x["share"] >= F.col("top") * LEAST_SHARE)
-    masks = per.select("gram", F.aggregate(own, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x["bit"])).alias("mask")).toPandas()
-    return Filters.build(languages, masks["gram"].to_numpy(np.int64), masks["mask"].to_numpy(np.int64))
+    held = F.filter("in", lambda x: x["share"] >= F.col("top") * least_share)
+    masks = per.select("gram", F.aggregate(held, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x["bit"])).alias("mask"))
+    made = masks.mapInPandas(slots, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+    return Filters.of_slots(languages, made["slot"].to_numpy(np.int64), made["mask"].to_numpy(np.int64))
+
+
+def fit_filters(docs: DataFrame, labels: DataFrame, names: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
+    """Filters from a bounded sample of labelled documents.
+
+    An n-gram is put into a language's filter if at least 1 % of the language's sampled
+    documents have it (two at least, where there are four or more), remarks aside; so
+    wrong labels leave hardly a trace. It must have ``LEAST_SHARE`` of the share that the
+    language with most of it has, too. As documents often hold a second language (code
+    in a text, say), first filters under the strict ``FIRST_SHARE`` tell which lines of
+    the sampled documents are in the document's own language, and the filters returned
+    are made from these alone. The driver gets a row per slot, whatever the sample holds.
+    """
+    languages = sorted(r[0] for r in names.select("lang_code").distinct().limit(65).collect())
+    if len(languages) > 64:
+        raise ValueError("at most 64 languages")
+    sample = labelled_sample(docs, labels, names, per_language)
+    texts = docs.select("doc_id", F.col("text").alias("words")).where("length(words) > 0").join(small_side(sample, per_language * len(languages)), "doc_id")
+    docs_of = sample.groupBy("lang_code").agg(F.count(F.lit(1)).alias("_docs"))
+    first = _fitted(texts, docs_of, languages, FIRST_SHARE)
+    return _fitted(texts, docs_of, languages, LEAST_SHARE, first)
 
 
 def with_declared(docs: DataFrame, names: DataFrame) -> DataFrame:

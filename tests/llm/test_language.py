@@ -121,3 +121,31 @@ def test_filters_hold_their_own_language(spark):
     f = G.fit_filters(docs, labels, spark.createDataFrame([("en", "en"), ("es", "es")], "lang_code string, spelling string"))
     counts = f.counts(G.read_lines([english + spanish]))
     assert counts[0, 0] > 30 > 5 > counts[0, 1] and counts[1, 1] > 30 > 5 > counts[1, 0]
+
+
+def test_filters_come_from_lines_in_the_documents_own_language(spark):
+    """Texts that hold code make none of its n-grams the text's language's, however many do."""
+    french, code = "Un petit script lit les comptes pour les deux brins.\n", "fit <- lm(token ~ window, data = layer)\n"
+    texts = [("fr", french * 9)] * 40 + [("fr", french * 12 + code * 10)] * 12 + [("r", code * 10)] * 45
+    docs = spark.createDataFrame([(i, t, c) for i, (c, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    names = spark.createDataFrame([("fr", "fr"), ("r", "r")], "lang_code string, spelling string")
+    f = G.fit_filters(docs, docs.where("doc_id < 3").selectExpr("doc_id", "lang as lang_code"), names)
+    counts = f.counts(G.read_lines([french + code]))
+    assert counts[0, 0] > 30 > 5 > counts[0, 1] and counts[1, 1] > 30 > 5 > counts[1, 0]
+    found = {(r.doc_id, r.lang_code) for r in G.relabelled(docs, names, f).collect()}
+    assert found == {(i, c) for i in range(40, 52) for c in ("fr", "r")}
+
+
+def test_blocks_of_a_further_language(filters):
+    german = "Der Bericht liest alle Gewichte und behält die sortierten Dateien.\n"
+    python = ["    for key, item in self.items():\n", "        yield key, item[1]\n", "    if not isinstance(x, dict):\n", "    return sorted(x.get('a', 1) for i, x in enumerate(y))\n"]
+    for size in (1, 2, 3, 4, 6, 12):
+        own = [python[i % 4] for i in range(12)]
+        text = "".join(german * 5 + "".join(own[i : i + size]) for i in range(0, 12, size)) + german * 3
+        assert {filters.languages[int(k)] for k in G.held_languages([text], filters)["lang"]} == {"de", "python"}, size
+
+
+def test_sampling_in_parts_keeps_the_best(spark, tables, monkeypatch):
+    want = {tuple(r) for r in G.labelled_sample(*tables, per_language=7).collect()}
+    monkeypatch.setattr(G, "SAMPLE_PARTS", 1)
+    assert want == {tuple(r) for r in G.labelled_sample(*tables, per_language=7).collect()}
