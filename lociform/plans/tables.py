@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,27 +35,34 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def at_most(df: DataFrame, max_rows: int) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows; reading stops once they are passed."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
 
     Beyond the bound the frame comes back as it was, so that the join shuffles.
-    The count stops reading once the bound is passed.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if at_most(df, max_rows) else df
 
 
 def materialized(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, so that it isn't computed again.
 
-    The folder is the session's; a temporary one is set only where none is, as in tests.
+    The folder is the session's. Where none is set, a session on one machine (a test) takes
+    a temporary one; on a cluster, whose executors would each write to their own disk,
+    ``df`` comes back as it is and is computed wherever it is used.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            import tempfile
-
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                return df
             folder = tempfile.mkdtemp(prefix="lociform-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
     return df.checkpoint()
 
