@@ -5,23 +5,27 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociform.plans.tables import materialized, small_side
+from lociform.plans.tables import at_most, materialized, small_side
 
 #: Words of a fingerprinted gram, and of the shortest shared span that is found for sure.
 GRAM, SPAN = 12, 30
 #: Most rows of a side that is broadcast: fingerprints of the test items, identifiers of the documents hit.
 BROADCAST_ROWS = 1_000_000
+#: Where the fingerprints join by a shuffle, those of the documents are spread over so many tasks each; items put together in one row for a document.
+SPREAD, ITEMS = 8, 64
 
 _UNSEEN = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\ufff9-\ufffb"
 _INVISIBLE = re.compile(f"[{_UNSEEN}]+")
 _MARKS = re.compile(r"\\+(?:u\{?([0-9a-fA-F]{4,6})\}?|x([0-9a-fA-F]{2})|[abefnrtv0])|&(?:amp;)*(#?[A-Za-z0-9]{1,31};)")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
+_TOKEN = re.compile(rb"[^ ]+")
 _BYTE, _WORD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _MASK = (1 << 64) - 1
 
@@ -132,7 +136,11 @@ def fingerprints(texts: list[str], gram: int = GRAM, span: int = SPAN, size: int
     fingerprint inside them. Texts of fewer than ``span`` words have none. Texts longer
     than ``size`` bytes are worked through in overlapping stretches, whole all the same.
     """
-    pieces = [(i, before, piece) for i, t in enumerate(texts) for before, piece in stretches(folded(t), span, size)]
+    return _prints([folded(t) for t in texts], gram, span, size)
+
+
+def _prints(flat: list[bytes], gram: int, span: int, size: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    pieces = [(i, before, piece) for i, t in enumerate(flat) for before, piece in stretches(t, span, size)]
     found, block, held = [], [], 0
     for k, (_, _, piece) in enumerate(pieces):
         block.append(k)
@@ -152,7 +160,10 @@ def fingerprints(texts: list[str], gram: int = GRAM, span: int = SPAN, size: int
 
 
 def fingerprint_rows(df: DataFrame, ident: str, text: str, gram: int = GRAM, span: int = SPAN) -> DataFrame:
-    """``ident, place, print``: the fingerprints of every text, in one pass without a shuffle."""
+    """``ident, print``: the different fingerprints of every text, in one pass without a shuffle.
+
+    A text gives each fingerprint once, so text that repeats itself has few.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -162,33 +173,82 @@ def fingerprint_rows(df: DataFrame, ident: str, text: str, gram: int = GRAM, spa
                 block.append(i)
                 size += len(t)
                 if size > 1_000_000 or i == len(texts) - 1:
-                    owner, place, value = fingerprints([texts[j] for j in block], gram, span)
-                    yield pd.DataFrame({"ident": ids.iloc[np.array(block)[owner]].to_numpy(), "place": place, "print": value})
+                    owner, _, value = fingerprints([texts[j] for j in block], gram, span)
+                    owner, value = np.unique(np.stack((owner, value)), axis=1)
+                    yield pd.DataFrame({"ident": ids.iloc[np.array(block)[owner]].to_numpy(), "print": value})
                     size, block = 0, []
 
     kind = df.select(ident).dtypes[0][1]
     rows = df.select(F.col(ident).alias("ident"), F.col(text).alias("words")).where("ident is not null and length(words) > 0")
-    return rows.mapInPandas(run, f"ident {kind}, place long, print long")
+    return rows.mapInPandas(run, f"ident {kind}, print long")
 
 
-def shared_spans(doc: list[bytes], item: list[bytes], places: list[tuple[int, int]]) -> tuple[int, int, int]:
-    """The longest run of equal words through any of ``places``: its length, start in doc, start in item."""
-    best, done = (0, -1, -1), {}
-    for d, i in sorted(places):
-        if done.get(d - i, -1) >= d:
-            continue
-        a = 0
-        while d - a > 0 and i - a > 0 and doc[d - a - 1] == item[i - a - 1]:
-            a += 1
-        b = 0
-        while d + b < len(doc) and i + b < len(item) and doc[d + b] == item[i + b]:
-            b += 1
-        done[d - i] = d + b
-        if a + b > best[0]:
-            best = (a + b, d - a, i - a)
+def longest_shared(doc: np.ndarray, item: np.ndarray, least: int) -> tuple[int, int, int] | None:
+    """The longest run of equal numbers, at least ``least``: its length, first place in doc, first place in item.
+
+    Lengths are halved in between; runs of one length are compared by their hashes, a hit
+    number by number.
+    """
+
+    def grams(x: np.ndarray, n: int) -> np.ndarray:
+        sums = _sums(_mix(x.astype(np.uint64) + np.uint64(1)) * _powers(_WORD, len(x)))
+        return (sums[n:] - sums[:-n]) * _powers(pow(_WORD, -1, 1 << 64), len(x) - n + 1)
+
+    def run(n: int) -> tuple[int, int, int] | None:
+        ours, theirs = grams(doc, n), grams(item, n)
+        for i in np.flatnonzero(np.isin(ours, theirs)):
+            j = int(np.flatnonzero(theirs == ours[i])[0])
+            if (doc[i : i + n] == item[j : j + n]).all():
+                return n, int(i), j
+        return None
+
+    low, high = least, min(len(doc), len(item))
+    best = run(low) if low <= high else None
+    while best and low < high:
+        n = (low + high + 1) // 2
+        if longer := run(n):
+            low, best = n, longer
+        else:
+            high = n - 1
     return best
 
 
+@lru_cache(maxsize=2000)
+def _item_prints(text: bytes, gram: int, span: int) -> np.ndarray:
+    return np.unique(_prints([text], gram, span)[2])
+
+
+def extended(doc: bytes, items: list[bytes], gram: int, span: int) -> list[tuple[int, int, int] | None]:
+    """The longest passage of at least ``span`` words that a folded text shares with each item.
+
+    The fingerprints shared are extended both ways over words that the item has, and what
+    they reach is compared with it. Time and memory follow the two lengths, however often
+    text repeats itself.
+    """
+    numbers: dict[bytes, int] = {}
+    codes = [np.array([numbers.setdefault(w, len(numbers)) for w in t.split()], np.int64) for t in items]
+    own = np.fromiter((numbers.get(m[0], -1) for m in _TOKEN.finditer(doc)), np.int64)
+    _, place, value = _prints([doc], gram, span)
+    out = []
+    for text, words in zip(items, codes):
+        hits = place[np.isin(value, _item_prints(text, gram, span))]
+        has = np.zeros(len(numbers) + 1, bool)
+        has[words] = True
+        known = np.concatenate(([False], has[own], [False]))
+        edges = np.flatnonzero(known[1:] != known[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        runs = np.unique(np.searchsorted(starts, hits, side="right") - 1) if len(starts) else np.empty(0, np.int64)
+        pieces = [np.arange(starts[r], ends[r] + 1) for r in runs if r >= 0]
+        if not pieces:
+            out.append(None)
+            continue
+        at = np.concatenate(pieces)  # the word behind each run, or the text's end, parts it from the next
+        reached = np.where(known[1:][at], own[np.minimum(at, len(own) - 1)], -1)
+        found = longest_shared(reached, words, span)
+        out.append(found and (found[0], int(at[found[1]]), found[2]))
+    return out
+
+
 def leaked_passages(
     docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, gram: int = GRAM, span: int = SPAN
 ) -> DataFrame:
@@ -196,19 +256,25 @@ def leaked_passages(
 
     Columns: ``doc, item, n_words, doc_place, item_place`` for the longest shared passage
     of each pair (places count words from 0). Fingerprints of documents and items are
-    joined; the documents hit are read once more, the hits extended word by word and
-    compared exactly, so no false hit stays and no passage of ``span`` words is missed.
-    Items are broadcast only after counting their fingerprints, and so are the
-    identifiers of the documents hit; beyond the bound both joins shuffle. Null and empty
-    texts and those of fewer words hold nothing; repeated documents each count, a
+    joined, each once per text; the documents hit are read once more, the hits extended
+    word by word and compared exactly, so no false hit stays and no passage of ``span``
+    words is missed. Items are broadcast only after counting their fingerprints, and so
+    are the identifiers of the documents hit; beyond the bound both joins shuffle, the
+    documents' side of a frequent fingerprint being spread over several tasks. Null and
+    empty texts and those of fewer words hold nothing; repeated documents each count, a
     repeated identifier is one document per text and one row per pair comes out.
     """
     prints = fingerprint_rows(docs, doc, text, gram, span)
-    tests = fingerprint_rows(items, item, item_text, gram, span).select(F.col("ident").alias("item"), F.col("place").alias("item_place"), "print")
-    hits = materialized(prints.join(small_side(tests, BROADCAST_ROWS), "print").select(F.col("ident").alias("doc"), "item", F.struct("place", "item_place").alias("at")))
-    pairs = hits.groupBy("doc", "item").agg(F.collect_set("at").alias("places"))
-    wording = items.select(F.col(item).alias("item"), F.col(item_text).alias("wording"))
-    found = pairs.join(wording, "item").groupBy("doc").agg(F.collect_list(F.struct("item", "wording", "places")).alias("tests"))
+    tests = materialized(fingerprint_rows(items, item, item_text, gram, span).select(F.col("ident").alias("item"), "print").distinct())
+    if at_most(tests, BROADCAST_ROWS):
+        met = prints.join(F.broadcast(tests), "print")
+    else:
+        salt = F.pmod(F.xxhash64("ident"), F.lit(SPREAD))
+        met = prints.withColumn("salt", salt).join(tests.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))), ["print", "salt"])
+    hits = materialized(met.select(F.col("ident").alias("doc"), "item").distinct())
+    wording = items.select(F.col(item).alias("item"), F.col(item_text).alias("wording")).where("wording is not null")
+    part = F.pmod(F.xxhash64("item"), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("doc")) / ITEMS))
+    found = hits.join(wording, "item").withColumn("part", part).groupBy("doc", "part").agg(F.collect_list(F.struct("item", "wording")).alias("tests"))
     whole = docs.select(F.col(doc).alias("doc"), F.col(text).alias("words")).where("words is not null")
     near = whole.join(small_side(hits.select("doc").distinct(), BROADCAST_ROWS), "doc", "left_semi").join(found, "doc")
 
@@ -216,12 +282,8 @@ def leaked_passages(
         for part in parts:
             rows = []
             for who, words, tests in zip(part["doc"], part["words"], part["tests"]):
-                own = folded(words).split()
-                for t in tests:
-                    places = [(p["place"], p["item_place"]) for p in t["places"] if p["place"] < len(own)]
-                    n, a, b = shared_spans(own, folded(t["wording"]).split(), places)
-                    if n >= span:
-                        rows.append((who, t["item"], n, a, b))
+                spans = extended(folded(words), [folded(t["wording"]) for t in tests], gram, span)
+                rows += [(who, t["item"], *s) for t, s in zip(tests, spans) if s]
             yield pd.DataFrame(rows, columns=["doc", "item", "n_words", "doc_place", "item_place"])
 
     kinds = docs.select(doc).dtypes[0][1], items.select(item).dtypes[0][1]

@@ -173,6 +173,32 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     per = _leaks(spark, d).groupBy(F.col("item").alias("item_id"))
     return per.agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_words").alias("longest"), F.min("doc").alias("first_doc"))
 
+# fixed values: characters that aren't seen, as themselves, as escapes and as entities
+_UNSEEN = r"\x{00ad}\x{034f}\x{061c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{fe00}-\x{fe0f}\x{feff}\x{fff9}-\x{fffb}"
+_HEX = "(?:0*ad|0*34f|0*61c|0*115f|0*1160|0*17b[45]|0*180[b-e]|0*200[b-f]|0*202[a-e]|0*206[0-9a-f]|0*fe0[0-9a-f]|0*feff|0*fff[9ab])"
+_NAMED = "shy|zwnj|zwj|lrm|rlm|ZeroWidthSpace|NoBreak|ApplyFunction|InvisibleTimes|InvisibleComma|it|ic|af"
+_CODES = "173|847|1564|4447|4448|606[89]|615[5-8]|820[3-7]|823[4-8]|828[89]|829[0-9]|830[0-3]|650(?:2[4-9]|3[0-9])|65279|6552[9]|6553[01]"
+_P8 = rf"""
+with t as (
+  select 'doc' as side, row_number() over () as n, cast(doc_id as varchar) as id, text as x from documents where text is not null
+  union all select 'item', row_number() over (), item_id, item_text from eval_items),
+a as (select side, n, id, regexp_replace(x, '[{_UNSEEN}]+', '', 'g') as x from t),
+b as (select side, n, id, regexp_replace(x, '\\+(?:u\{{?(?i:{_HEX})\}}?|x(?:ad|AD|aD|Ad))|&(?:amp;)*(?:#0*(?:{_CODES})|#[xX](?i:{_HEX})|{_NAMED});', '', 'g') as x from a),
+c as (select side, n, id, regexp_replace(x, '\\+(?:u\{{?[0-9a-fA-F]{{4,6}}\}}?|x[0-9a-fA-F]{{2}}|[abefnrtv0])|&(?:amp;)*#?[A-Za-z0-9]{{1,31}};', ' ', 'g') as x from b),
+w as (select side, n, id, list_transform(regexp_extract_all(x, '[A-Za-z0-9]+'), lambda v: lower(v)) as w from c),
+u as (select side, n, id, len(w) as size, unnest(w) as v, generate_subscripts(w, 1) as i from w where len(w) >= 30),
+h2 as (select *, hash(v, lead(v, 1) over o) as x2 from u window o as (partition by side, n order by i)),
+h4 as (select *, hash(x2, lead(x2, 2) over o) as x4 from h2 window o as (partition by side, n order by i)),
+h8 as (select *, hash(x4, lead(x4, 4) over o) as x8 from h4 window o as (partition by side, n order by i)),
+h30 as (select *, hash(x8, lead(x8, 8) over o, lead(x8, 16) over o, lead(x4, 24) over o, lead(x2, 28) over o) as g from h8 window o as (partition by side, n order by i)),
+g as (select side, n, id, i, g from h30 where i <= size - 29),
+m as (select d.id as doc, e.id as item, d.n as dn, e.n as en, d.i, e.i as j from g d join g e on d.g = e.g where d.side = 'doc' and e.side = 'item'),
+r as (select *, i - row_number() over (partition by dn, en, i - j order by i) as run from m),
+s as (select doc, item, count(*) + 29 as n_words from r group by doc, item, dn, en, i - j, run)
+"""
+ORACLES["p8_found"] = _P8 + "select distinct cast(doc as bigint) as doc_id, item as item_id from m"
+ORACLES["p8_items"] = _P8 + "select item as item_id, count(distinct doc) as n_docs, max(n_words) as longest, min(cast(doc as bigint)) as first_doc from s group by item"
+
 # problem 9
 
 

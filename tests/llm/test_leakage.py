@@ -4,7 +4,7 @@ import pytest
 from conftest import rows
 
 from lociform.llm import leakage
-from lociform.llm.leakage import fingerprints, folded, leaked_passages
+from lociform.llm.leakage import extended, fingerprint_rows, fingerprints, folded, leaked_passages
 
 WORDS = [f"w{i}" for i in range(40)]
 rng = random.Random(5)
@@ -79,3 +79,38 @@ def test_same_as_brute_force_on_the_corpus(spark):
             want |= {(r.doc_id, i) for i in grams.get(b" ".join(w[p : p + 30]), ())}
     got = {(r.doc, r.item) for r in leaked_passages(docs, "doc_id", "text", items, "item_id", "item_text").collect()}
     assert got == want
+
+
+def test_text_that_repeats_itself(spark):
+    """A million equal words against an item of equal words: one fingerprint each, and the whole item found."""
+    docs, items = ["x " * 1_000_000, "y " + "a b c " * 3000, "x " * 29], [("X", "x " * 500), ("P", "q " + "a b c " * 40)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert fingerprint_rows(df, "doc_id", "text").count() <= 10
+    assert rows(case(spark, docs, items)) == [(0, "X", 500, 0, 0), (1, "P", 120, 1, 1)]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_extension_equals_brute_force(seed):
+    r = random.Random(seed)
+    words = ["a", "b", "c"] if seed % 2 else [f"w{i}" for i in range(30)]
+    item = [r.choice(words) for _ in range(r.randrange(5, 60))] * (1 + seed % 3)
+    doc = [r.choice([*words, "other"]) for _ in range(50)]
+    for _ in range(3):
+        a = r.randrange(len(item))
+        doc += item[a : a + r.randrange(60)] + [r.choice(["other", "a"])]
+    want = (0, 0, 0)
+    for i in range(len(doc)):
+        for j in range(len(item)):
+            n = 0
+            while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n]:
+                n += 1
+            if n > want[0]:
+                want = (n, i, j)
+    got = extended(" ".join(doc).encode(), [" ".join(item).encode(), b"", b"z"], 4, 10)
+    assert got == [want if want[0] >= 10 else None, None, None]
+
+
+def test_many_items_in_one_document(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "ITEMS", 2)
+    items = [(f"T{i}", " ".join(ITEM[i : i + 40])) for i in range(9)]
+    assert rows(case(spark, [" ".join(ITEM)], items).select("doc", "item", "n_words")) == [(0, f"T{i}", 40) for i in range(9)]
