@@ -9,7 +9,7 @@ from lociform.llm import language
 from lociform.llm.cutoff import cutoff_report, keep_fraction
 from lociform.llm.leakage import leaked_passages
 from lociform.llm.packing import container_report, pack_documents
-from lociform.llm.sketch import merge_sketches, percentile_sketches, percentiles
+from lociform.llm.sketch import merge_sketches, percentile_sketches, percentiles, rank_error
 from lociform.llm.splitting import split_oversized
 from lociform.operators.sequences import with_sequence
 from lociform.operators.wide import number
@@ -74,6 +74,21 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+@query
+def p3_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the pieces of each read keep to the limit and the overlap, and what they make put together again."""
+    piece = F.struct("piece_no", "piece_start", "piece")
+    reads = _pieces(spark, d).groupBy(F.col("ident").alias("read_id")).agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    shared = F.forall(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.right(F.get("p", i - 1)["piece"], F.lit(200)) == F.left(F.get("p", i)["piece"], F.lit(200)))
+    placed = F.forall(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.get("p", i)["piece_start"] == F.get("p", i - 1)["piece_start"] + F.length(F.get("p", i - 1)["piece"]) - 200)
+    whole = F.array_join(F.transform("p", lambda x, i: F.when(i == 0, x["piece"]).otherwise(F.substring(x["piece"], F.lit(201), F.length(x["piece"])))), "")
+    return reads.select("read_id", F.length(whole).cast("long").alias("n_bases"), F.md5(whole).alias("digest"), F.forall("p", lambda x: F.length(x["piece"]) <= 2000).alias("fits"), (shared & placed).alias("overlaps"))
+
+
+ORACLES["p3_rebuilt"] = r"""
+select read_id, length(s) as n_bases, md5(s) as digest, true as fits, true as overlaps
+from (select read_id, regexp_replace(seq, '\s+', '', 'g') as s from aligned_reads) where length(s) > 2000
+"""
 ORACLES["p3_found"] = r"""
 select read_id, case when list_max(list_transform(regexp_split_to_array(s, '[Nn.]{10,}'), lambda x: length(x))) <= 1800 then 'gap' else 'forced' end as cut_kind
 from (select read_id, regexp_replace(seq, '\s+', '', 'g') as s from aligned_reads) where length(s) > 2000
@@ -120,6 +135,19 @@ def p4_all_from_days(spark: SparkSession, d: str) -> DataFrame:
     return percentiles(merge_sketches(days, []), [], [0.05, 0.25, 0.5, 0.75, 0.95])
 
 
+@query
+def p4_all_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each answer of ``p4_all_from_days`` has its rank, within the sketch's bound, among all values."""
+    answers = p4_all_from_days(spark, d)
+    values = table(spark, d, "vcf").select(F.inline(F.array(*[F.struct(F.lit(f).alias("field_tag"), c.cast("double").alias("v")) for f, c in _run_values().items()])))
+    known = values.where("v is not null and not isnan(v) and abs(v) <> double('infinity')").groupBy("field_tag", "v").agg(F.count(F.lit(1)).alias("k"))
+    at = known.join(F.broadcast(answers), "field_tag").groupBy("field_tag", "rank", "n").agg(
+        F.sum(F.when(F.col("v") < F.col("value"), F.col("k")).otherwise(0)).alias("below"), F.sum(F.when(F.col("v") <= F.col("value"), F.col("k")).otherwise(0)).alias("up_to")
+    )
+    bound = 2 * rank_error() * F.col("n")
+    return at.select("field_tag", "n", "rank", ((F.col("below") <= F.col("rank") * F.col("n") + bound) & (F.col("up_to") >= F.col("rank") * F.col("n") - bound)).alias("within"))
+
+
 _P4 = r"""
 with e as (
   select run_id, regexp_extract(info, '(?:^|[;|,\s])DP\s*=\s*([^;|,\s]*)', 1) as dp, regexp_extract(info, '(?:^|[;|,\s])QD\s*=\s*([^;|,\s]*)', 1) as qd, qual
@@ -143,6 +171,8 @@ ORACLES["p4_run_percentiles"] = _P4 + _P4_LIST.format(g="run_id", r=_RANKS)
 _NAMED = "(select v.info, v.qual, d.chrom as seq_name from vcf v join seq_dict d on lower(trim(v.chrom)) in (lower(trim(d.chrom)), lower(trim(d.short_name))))"
 ORACLES["p4_sequence_percentiles"] = _P4.replace("run_id", "seq_name").replace("from vcf", "from " + _NAMED) + _P4_LIST.format(g="seq_name", r=_RANKS)
 
+ORACLES["p4_all_ranks"] = _P4 + f"select field_tag, count(v) as n, cast(unnest({_RANKS}) as double) as rank, true as within from v group by field_tag"
+
 # problem 7
 
 
@@ -156,6 +186,23 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return container_report(pack_documents(table(spark, d, "documents"), "doc_id", "text", capacity=2048))
 
 
+@query
+def p7_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each text's pieces follow each other and only a text longer than a container is cut, into as few as it needs."""
+    own = p7_packing(spark, d).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("token_start") + F.col("n_tokens")).alias("last"), F.count(F.lit(1)).alias("k"), F.countDistinct("piece_no").alias("u"))
+    return own.select("doc_id", ((F.col("n") == F.col("last")) & (F.col("k") == F.greatest(F.ceil(F.col("n") / 2048), F.lit(1))) & (F.col("k") == F.col("u"))).alias("is_whole"))
+
+
+@query
+def p7_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Texts packed, and containers that hold too much."""
+    each = p7_packing(spark, d).groupBy("container_id").agg(F.sum("n_tokens").alias("n"), F.count_if(F.col("piece_no") == 1).alias("k"))
+    return each.agg(F.sum("k").alias("n_texts"), F.count_if(F.col("n") > 2048).alias("n_over"))
+
+
+ORACLES["p7_whole"] = "select doc_id, true as is_whole from documents where text is not null"
+ORACLES["p7_fit"] = "select count(*) as n_texts, cast(0 as bigint) as n_over from documents where text is not null"
+
 # problem 8
 
 

@@ -16,7 +16,7 @@ def test_no_container_overflows(sizes):
 
 
 def test_lowest_cost_first():
-    place, cost = balance(np.array([50, 40, 30, 20]), 100, tail=0.0)
+    place, cost = balance(np.array([50, 40, 30, 20]), 100, tolerance=0.0)
     assert list(place) == [0, 1, 1, 0] and len(cost) == 2
 
 
@@ -65,3 +65,12 @@ def test_rows(spark):
 def test_missing_vocabulary():
     with pytest.raises(FileNotFoundError):
         TokenCounter("/no/such/file")
+
+
+def test_tolerance_fills_the_rest_and_keeps_costs_even():
+    sizes = np.sort(np.random.RandomState(2).lognormal(6.3, 0.6, 4096).clip(80, 2048).astype(int))[::-1]
+    least = -(-sizes.sum() // 2048)
+    strict, even = (balance(sizes, 2048, tolerance=t)[1] for t in (0.0, 1 / 4))
+    assert least <= len(even) <= 1.01 * least < len(strict)
+    assert even.std() / even.mean() < strict.std() / strict.mean() < 0.06
+    assert least <= pack(sizes, 2048).max() + 1 <= len(even)
