@@ -13,18 +13,34 @@ from pyspark.sql import functions as F
 #: Values of VCF files that hold delimiters themselves; fixed values.
 SYMBOLIC = ("<DUP:TANDEM>", "<DEL:ME>", "<INS:ME>", "<DEL:ME|ALU>", "<INS:ME,L1>", "<CN0/CN2>", "<NON_REF>", "<*>", "<DEL>", "<INS>", "<DUP>", "<INV>", "<CNV>")
 #: Characters between values; quotes are no part of a value.
-_ATOM = re.compile(r"<[^<>]*>|[^,;|/\s\"'<>]+|[<>]|[,;|/\s\"']+")
+_ATOM = re.compile(r"[^,;|/\s\"']+|[,;|/\s\"']+")
+_BRACKETED = re.compile(r"<[^<>]*>|[^,;|/\s\"'<>]+|[<>]|[,;|/\s\"']+")
 _SPLIT = frozenset(",;|/\"' \t\r\n\f\v")
+#: Most values that are looked up in every task; beyond it the bracket rule alone protects delimiters.
+MOST_KNOWN = 100_000
 #: A run of a value costs this much; a known whole value costs less than any two runs.
 _RUN, _KNOWN = 2, 3
 
 
-def segmenter(known: tuple[str, ...]):
+def whole_values(df: DataFrame, *texts: Column, most: int = MOST_KNOWN) -> tuple[str, ...] | None:
+    """The dictionary of values that hold delimiters themselves, taken from the data.
+
+    These are the different texts in angle brackets that the fields hold, as far as a
+    delimiter, blank or quote is among their characters; others need no protection. Spark
+    reads all rows and keeps each value once. None if there are more than ``most``, which
+    is found out before anything reaches the driver.
+    """
+    each = F.explode(F.flatten(F.array(*[F.coalesce(F.regexp_extract_all(t, F.lit("(<[^<>]*>)"), 1), F.array().cast("array<string>")) for t in texts])))
+    found = df.select(each.alias("value")).where(F.col("value").rlike(r"[,;|/\s\"']")).distinct().limit(most + 1).collect()
+    return tuple(sorted(r.value for r in found)) if len(found) <= most else None
+
+
+def segmenter(known: tuple[str, ...], brackets: bool = True):
     """A function that cuts a text into its values by a least-cost cover.
 
     A multi-pattern automaton finds the known whole values anywhere in the text. The cover
-    goes over the text's atoms (runs without delimiter, bracketed texts, runs of
-    delimiters): a step takes one atom, or one known value over several atoms. Delimiters
+    goes over the text's atoms (runs without delimiter, runs of delimiters and, with
+    ``brackets``, any text in angle brackets, known or not): a step takes one atom, or one known value over several atoms. Delimiters
     are free, an atom costs 2, a known value 3, so a known value wins wherever it spans
     two or more atoms, and of overlapping ones the cover that leaves least over. Atoms
     that touch, without delimiter between them, make one value.
@@ -35,10 +51,11 @@ def segmenter(known: tuple[str, ...]):
     for value in known:
         automaton.add_word(value, len(value))
     automaton.make_automaton()
+    atom = _BRACKETED if brackets else _ATOM
 
     @lru_cache(maxsize=100_000)
     def cut(text: str) -> list[str]:
-        spans = [m.span() for m in _ATOM.finditer(text)]
+        spans = [m.span() for m in atom.finditer(text)]
         starts = {a: i for i, (a, _) in enumerate(spans)}
         ends = {b: i + 1 for i, (_, b) in enumerate(spans)}
         jumps: dict[int, list[int]] = {}
@@ -78,13 +95,13 @@ def segmenter(known: tuple[str, ...]):
     return cut
 
 
-def split_fields(df: DataFrame, ident: str, fields: dict[str, Column], known: tuple[str, ...] = SYMBOLIC, least: int = 2) -> DataFrame:
+def split_fields(df: DataFrame, ident: str, fields: dict[str, Column], known: tuple[str, ...] = SYMBOLIC, least: int = 2, brackets: bool = True) -> DataFrame:
     """One row per value of each packed field: ``ident, field_tag, item_no, item``.
 
     Values are parted by commas, semicolons, bars, slashes and blanks, also mixed; doubled
     and trailing delimiters add no value, quotes and outer blanks are no part of one, and
-    delimiters inside ``<...>`` or inside one of the ``known`` whole values belong to the
-    value. ``item_no`` counts from 1. Fields of fewer than ``least`` values give no row,
+    delimiters inside one of the ``known`` whole values (``whole_values`` takes them from
+    the data) or, with ``brackets``, inside any ``<...>`` belong to the value. ``item_no`` counts from 1. Fields of fewer than ``least`` values give no row,
     null and empty ones neither; repeated rows each give theirs. Only the ids and fields
     reach Python, in Arrow batches; there is no shuffle.
     """
@@ -92,7 +109,7 @@ def split_fields(df: DataFrame, ident: str, fields: dict[str, Column], known: tu
     kind = df.select(ident).dtypes[0][1]
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        segment = segmenter(known)
+        segment = segmenter(known, brackets)
         for part in parts:
             made = {"ident": part["ident"]}
             for i, _ in enumerate(names):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lociform.functions import codes, stats, vcf_math
 from lociform.operators import candidates, flanks, intervals, pileup, reads, reference, reject, vcf, vcf_filter, wide
-from lociform.operators.multivalue import info_entry, sample_field, split_fields
+from lociform.operators.multivalue import info_entry, sample_field, split_fields, whole_values
 from lociform.operators.sequences import with_sequence
 from lociform.plans.tables import table
 
@@ -100,8 +100,10 @@ ORACLES["p5_valid"] = _PARSED + "select line_id, " + ", ".join(
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     keys, call = F.col("format_keys"), F.col("sample_call")
     fields = {"AD": sample_field(keys, call, "AD"), "PL": sample_field(keys, call, "PL"), "DP4": info_entry(F.col("info"), "DP4")}
-    calls = split_fields(table(spark, d, "vcf"), "rec_id", fields)
-    known = split_fields(table(spark, d, "dbsnp"), "snp_id", {"ALT": F.col("alt")})
+    calls = split_fields(table(spark, d, "vcf"), "rec_id", fields, known=(), brackets=False)
+    snps = table(spark, d, "dbsnp")
+    alleles = whole_values(snps, F.col("alt"))
+    known = split_fields(snps, "snp_id", {"ALT": F.col("alt")}, known=alleles or (), brackets=alleles is None)
     named = lambda df, name: df.select(F.lit(name).alias("source_table"), F.col("ident").alias("row_id"), "field_tag", "item_no", "item")
     return named(calls, "vcf").unionByName(named(known, "dbsnp"))
 

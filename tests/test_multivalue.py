@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lociform.operators.multivalue import SYMBOLIC, info_entry, sample_field, segmenter, split_fields
+from lociform.operators.multivalue import SYMBOLIC, info_entry, sample_field, segmenter, split_fields, whole_values
 
 
 def split(text, known=SYMBOLIC):
@@ -48,3 +48,23 @@ def test_entries_and_sample_fields(spark):
     assert [r[0] for r in df.select(info_entry(F.col("info"), "DP4")).collect()] == ["9 / 0 | 1", "1,2", "1|2|3|4", None, "5, 6", None]
     df = spark.createDataFrame([("GT:AD", "0/1:3,4"), ("GT:PL", "0/1:9"), ("GT:AD", "0/1"), (None, "a")], "k string, s string")
     assert [r[0] for r in df.select(sample_field(F.col("k"), F.col("s"), "AD")).collect()] == ["3,4", None, None, None]
+
+
+def test_dictionary_from_the_data_decides_the_rows(spark):
+    """Without an entry of its dictionary, p6's operator cuts that value at its delimiters."""
+    snps = spark.read.parquet("/root/testdata/sf0.01/dbsnp.parquet")
+    known = whole_values(snps, F.col("alt"))
+    split_with = lambda words: rows(split_fields(snps, "snp_id", {"ALT": F.col("alt")}, known=words, brackets=False))
+    whole = split_with(known)
+    assert known and all(v[0] == "<" and v[-1] == ">" for v in known)
+    for gone in known:
+        less = split_with(tuple(v for v in known if v != gone))
+        assert less != whole and gone not in {r[3] for r in less} and gone in {r[3] for r in whole}
+
+
+def test_dictionary_bounds_and_edges(spark):
+    df = spark.createDataFrame([("<A|B>,<A|B>,<C>", "<D E>"), (None, None), ("", "<F,G>,<H"), ("x/y", "<'>")], "a string, b string")
+    assert whole_values(df, F.col("a"), F.col("b")) == ("<'>", "<A|B>", "<D E>", "<F,G>")
+    assert whole_values(df, F.col("a"), F.col("b"), most=3) is None
+    assert whole_values(df.limit(0), F.col("a")) == ()
+    assert segmenter(("<A|B>",), False)('"<A|B>" | <C|D>,<A|B') == ["<A|B>", "<C", "D>", "<A", "B"]
