@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import sys
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lociform.functions.codes import GENOTYPES, PAIRS, CallerConfig, genotype_prior
-from lociform.functions.stats import fisher_tails
+from lociform.functions.stats import tail_table
 
 #: Counts from here on are compared by a chi-square density instead of the exact test.
 EXACT_BELOW = 2000
@@ -23,33 +22,38 @@ INDEL_DIFFICULTY = 1.375
 LEAST_EXPONENT = -1500
 
 
-@lru_cache(maxsize=500_000)
-def agreement(target: int, total: int, share: float, error: int) -> float:
-    """How well ``target`` of ``total`` agrees with a share of the total.
+def agreements(target: np.ndarray, total: np.ndarray, share: np.ndarray, error: np.ndarray) -> np.ndarray:
+    """How well each ``target`` of ``total`` agrees with a share of the total.
 
     ``error`` is what large counts are compared with instead; it isn't used below
     ``EXACT_BELOW``.
     """
-    if target < EXACT_BELOW and total < EXACT_BELOW:
-        expected = int(np.float32(total) * np.float32(share) + np.float32(0.5))
-        return fisher_tails(target, total, expected, total)[2]
-    a, b, c, d = float(target), float(total), float(error), float(total)
-    n, distance = a + b + c + d, 0.0
-    for cell, row, col in ((a, a + b, a + c), (b, a + b, b + d), (c, c + d, a + c), (d, c + d, b + d)):
-        e = row * col / n
-        distance += (abs(cell - e) - 0.5) ** 2 / e if e > 0 else 0.0
-    x = min(int(distance * 10 + 0.5), 14_999) / 10
-    return 1.0 if x == 0 else min(1.0, math.exp(-x / 2) / math.sqrt(2 * math.pi * x))
-
-
-def guarded(*factors: tuple[float, float]) -> float:
-    """Product of powers (value, exponent), 0 below 2**-1500 and never denormal."""
-    if any(v <= 0 for v, _ in factors):
-        return 0.0
-    ln = sum(k * math.log(v) for v, k in factors)
-    if ln < LEAST_EXPONENT * math.log(2):
-        return 0.0
-    return min(1.0, max(math.exp(ln), sys.float_info.min))
+    out = np.empty(len(target))
+    exact = (target < EXACT_BELOW) & (total < EXACT_BELOW)
+    expected = (total.astype(np.float32) * share.astype(np.float32) + np.float32(0.5)).astype(np.int64)
+    out[exact] = tail_table(np.stack((target, total, expected, total), axis=1)[exact])[:, 2]
+    a, b, c = (v[~exact].astype(float) for v in (target, total, error))
+    n, distance = a + b + c + b, np.zeros(len(a))
+    for cell, row, col in ((a, a + b, a + c), (b, a + b, b + b), (c, c + b, a + c), (b, c + b, b + b)):
+        e = row * col / np.maximum(n, 1)
+        distance += np.where(e > 0, (np.abs(cell - e) - 0.5) ** 2 / np.where(e > 0, e, 1), 0.0)
+    x = np.minimum((distance * 10 + 0.5).astype(np.int64), 14_999) / 10
+    x1 = np.where(x == 0, 1, x)
+    out[~exact] = np.where(x == 0, 1.0, np.minimum(1.0, np.exp(-x1 / 2) / np.sqrt(2 * np.pi * x1)))
+    return out
+
+
+def agreement(target: int, total: int, share: float, error: int) -> float:
+    """``agreements`` of one count."""
+    return float(agreements(*(np.array([v]) for v in (target, total, share, error)))[0])
+
+
+def guarded(values: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """Products over rows of powers, 0 below 2**-1500 and never denormal."""
+    none = (values <= 0).any(1)
+    ln = (np.log(np.where(values > 0, values, 1.0)) * powers).sum(1)
+    none |= ln < LEAST_EXPONENT * math.log(2)
+    return np.where(none, 0.0, np.clip(np.exp(np.where(none, 0.0, ln)), sys.float_info.min, 1.0))
 
 
 def _error_shares(first: int, second: int, config: CallerConfig) -> float:
@@ -61,35 +65,42 @@ def _error_shares(first: int, second: int, config: CallerConfig) -> float:
     return (2 * s + 2 * i, 3 * s + i, 4 * s)[indels]
 
 
-@lru_cache(maxsize=200_000)
-def likelihoods(weights: tuple[int, ...], ref: int, config: CallerConfig = CallerConfig()) -> list[float]:
-    """Likelihood of each genotype from the weights of A, C, G, T, X, Y."""
-    w = list(weights)
-    if w[4] + w[5]:
-        w[ref] = max(0, int(w[ref] - ((w[4] + w[5]) * INDEL_DIFFICULTY + 0.5)))
-    total, out = sum(w), []
-    half = int(total * 0.5 + 0.5)
-    for a, b in PAIRS:
+def likelihood_table(weights: np.ndarray, ref: np.ndarray, config: CallerConfig = CallerConfig()) -> np.ndarray:
+    """Likelihood of each genotype from rows of weights of A, C, G, T, X, Y; equal pileups are worked out once."""
+    each, back = np.unique(np.column_stack((weights, ref)).astype(np.int64), axis=0, return_inverse=True)
+    w, own, at = each[:, :6].copy(), each[:, 6], np.arange(len(each))
+    taken = np.trunc(w[at, own] - ((w[:, 4] + w[:, 5]) * INDEL_DIFFICULTY + 0.5)).astype(np.int64)
+    w[at, own] = np.where(w[:, 4] + w[:, 5] != 0, np.maximum(0, taken), w[at, own])
+    total = w.sum(1)
+    part = lambda share: (total * share + 0.5).astype(np.int64)
+    half, asked = part(0.5), []  # target, total, share, what large counts are compared with, genotype, power
+    for g, (a, b) in enumerate(PAIRS):
         e = _error_shares(a, b, config)
         if a == b:
-            hit = agreement(w[a], total, 1 - e, int(total * (1 - e) + 0.5))
-            miss = agreement(max(0, total - w[a]), total, e, int(total * e + 0.5))
-            out.append(guarded((hit, 1), (miss, 1)))
+            asked += [(w[:, a], total, 1 - e, part(1 - e), g, 1.0), (np.maximum(0, total - w[:, a]), total, e, part(e), g, 1.0)]
         else:
-            near, far = int(total * (0.5 - e / 2) + 0.5), int(total * e / 2 + 0.5)
             shares = [0.5 - (e if x < 4 or b < 4 else _error_shares(4, 5, config)) for x in (a, b)]
-            hits = [agreement(w[x], half, s, near) for x, s in zip((a, b), shares)]
-            miss = agreement(max(0, total - w[a] - w[b]), total, e, far)
-            out.append(guarded((hits[0], 0.5), (hits[1], 0.5), (miss, 1)))
-    return out
+            asked += [(w[:, x], half, s, part(0.5 - e / 2), g, 0.5) for x, s in zip((a, b), shares)]
+            asked.append((np.maximum(0, total - w[:, a] - w[:, b]), total, e, part(e / 2), g, 1.0))
+    size = len(each)
+    flat = [np.concatenate([q[i] for q in asked]) for i in (0, 1, 3)]
+    found = agreements(flat[0], flat[1], np.repeat([q[2] for q in asked], size), flat[2]).reshape(len(asked), size).T
+    of, powers = np.array([q[4] for q in asked]), np.array([q[5] for q in asked])
+    return np.stack([guarded(found[:, of == g], powers[of == g]) for g in range(len(PAIRS))], axis=1)[back.ravel()]
+
+
+def likelihoods(weights: tuple[int, ...], ref: int, config: CallerConfig = CallerConfig()) -> list[float]:
+    """``likelihood_table`` of one site."""
+    return likelihood_table(np.array([weights]), np.array([ref]), config)[0].tolist()
 
 
 def genotype_likelihoods(w: Column, ref_code: Column, config: CallerConfig = CallerConfig()) -> Column:
-    """Array of the sixteen likelihoods; equal pileups are worked out once per worker."""
+    """Array of the sixteen likelihoods; equal pileups of a batch are worked out once."""
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(weights: pd.Series, ref: pd.Series) -> pd.Series:
-        return pd.Series([likelihoods(tuple(int(x) for x in ws), int(r), config) for ws, r in zip(weights, ref)])
+        table = likelihood_table(np.array(weights.tolist(), np.int64).reshape(-1, 6), ref.to_numpy(np.int64), config)
+        return pd.Series(list(table), dtype=object)
 
     return run(w, ref_code)
 

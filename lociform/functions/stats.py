@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Possible tables worked out at once.
+_AT_ONCE = 1 << 20
+
+
 @lru_cache(maxsize=4)
 def _table(size: int) -> np.ndarray:
     return np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, size, dtype=float)))))
@@ -22,71 +26,80 @@ def ln_factorials(n: int) -> np.ndarray:
     return _table(1 << max(12, int(n + 1).bit_length()))
 
 
-@lru_cache(maxsize=200_000)
-def fisher_tails(a: int, b: int, c: int, d: int) -> tuple[float, float, float, float]:
-    """Left, right and two-tailed probability of a 2 x 2 table, and two-tailed without ties.
+def tail_table(counts: np.ndarray) -> np.ndarray:
+    """Left, right and two-tailed probability of 2 x 2 tables (rows a, b, c, d), and two-tailed without ties.
 
     Two-tailed adds the tables at most as likely as the observed one; without ties, those
-    less likely. Negative counts lose their sign.
+    less likely. Negative counts lose their sign. Equal tables are worked out once; the
+    tables that could have been observed instead stand in one flat array, in blocks.
     """
-    a, b, c, d = abs(a), abs(b), abs(c), abs(d)
-    row, col, n = a + b, a + c, a + b + c + d
-    if n == 0:
-        return 1.0, 1.0, 1.0, 1.0
-    f = ln_factorials(n)
-    x = np.arange(max(0, row + col - n), min(row, col) + 1)
-    p = np.exp(f[row] + f[n - row] + f[col] + f[n - col] - f[n] - f[x] - f[row - x] - f[col - x] - f[n - row - col + x])
-    own = p[a - x[0]]
-    rest = np.arange(len(p)) != a - x[0]
-    return (
-        float(p[x <= a].sum()),
-        float(p[x >= a].sum()),
-        float(p[(p < own * (1 + 1e-9)) & rest].sum() + own),
-        float(p[(p < own * (1 - 1e-7)) & rest].sum() + own),
-    )
+    tables, back = np.unique(np.abs(counts.astype(np.int64)).reshape(-1, 4), axis=0, return_inverse=True)
+    a, row, col, n = tables[:, 0], tables[:, 0] + tables[:, 1], tables[:, 0] + tables[:, 2], tables.sum(1)
+    low = np.maximum(0, row + col - n)
+    size = np.minimum(row, col) - low + 1
+    f, out = ln_factorials(int(n.max(initial=0))), np.empty((len(tables), 4))
+    block = np.cumsum(size) // _AT_ONCE
+    for k in np.unique(block):
+        at = np.flatnonzero(block == k)
+        starts = np.cumsum(size[at]) - size[at]
+        each = np.repeat(at, size[at])
+        x = np.arange(len(each)) - np.repeat(starts - low[at], size[at])
+        known = f[row] + f[n - row] + f[col] + f[n - col] - f[n]
+        p = np.exp(known[each] - f[x] - f[row[each] - x] - f[col[each] - x] - f[(n - row - col)[each] + x])
+        first = p[starts + a[at] - low[at]]
+        own, other = np.repeat(first, size[at]), x != a[each]
+        total = lambda keep: np.add.reduceat(np.where(keep, p, 0.0), starts)  # noqa: E731, B023
+        out[at] = np.stack((total(x <= a[each]), total(x >= a[each]), total((p < own * (1 + 1e-9)) & other) + first, total((p < own * (1 - 1e-7)) & other) + first), axis=1)
+    return out[back.ravel()]
 
 
-def _counts(*columns: pd.Series) -> zip:
-    return zip(*(c.fillna(0).astype("int64").tolist() for c in columns))
+def fisher_tails(a: int, b: int, c: int, d: int) -> tuple[float, float, float, float]:
+    """``tail_table`` of one table."""
+    return tuple(tail_table(np.array([[a, b, c, d]]))[0].tolist())
+
+
+def _counts(*columns: pd.Series) -> np.ndarray:
+    return np.stack([c.fillna(0).astype("int64").to_numpy() for c in columns], axis=1)
 
 
 @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("left", "right", "two", "below")]))
 def fisher_all(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
     """All tails of a 2 x 2 table; null counts are zero."""
-    return pd.DataFrame([fisher_tails(*t) for t in _counts(a, b, c, d)], columns=["left", "right", "two", "below"])
+    return pd.DataFrame(tail_table(_counts(a, b, c, d)), columns=["left", "right", "two", "below"])
 
 
 @F.pandas_udf(T.DoubleType())
 def _two_tail(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    return pd.Series([fisher_tails(*t)[2] for t in _counts(a, b, c, d)], dtype=float)
+    return pd.Series(tail_table(_counts(a, b, c, d))[:, 2])
 
 
 @F.pandas_udf(T.DoubleType())
 def _two_tail_below(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    return pd.Series([fisher_tails(*t)[3] for t in _counts(a, b, c, d)], dtype=float)
+    return pd.Series(tail_table(_counts(a, b, c, d))[:, 3])
 
 
 def fisher_two_tail(a: Column, b: Column, c: Column, d: Column, ties: bool = True) -> Column:
     return (_two_tail if ties else _two_tail_below)(a, b, c, d)
 
 
+def _by_allele(tables, *arrays: pd.Series) -> pd.Series:
+    """The two tails without ties, at most 1, of the tables that flat counts make, as arrays like the first."""
+    flat = [np.concatenate([np.empty(0, np.int64), *x.tolist()]).astype(np.int64) for x in arrays]
+    tail = np.minimum(1.0, tail_table(np.stack(tables(*flat), axis=1))[:, 3])
+    ends = np.cumsum(arrays[0].map(len).to_numpy(np.int64))
+    return pd.Series(np.split(tail, ends[:-1]) if len(ends) else [], dtype=object)
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def strand_bias(f: pd.Series, r: pd.Series) -> pd.Series:
     """Per allele: how far its strands depart from an even split, at most 1."""
-    out = []
-    for fs, rs in zip(f, r):
-        out.append([min(1.0, fisher_tails(int(a), int(b), (int(a) + int(b)) // 2, (int(a) + int(b)) // 2)[3]) for a, b in zip(fs, rs)])
-    return pd.Series(out)
+    return _by_allele(lambda a, b: (a, b, (a + b) // 2, (a + b) // 2), f, r)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def base_quality_bias(w: pd.Series, f: pd.Series, r: pd.Series) -> pd.Series:
     """Per allele: how far its weight falls short of full quality, at most 1."""
-    out = []
-    for ws, fs, rs in zip(w, f, r):
-        full = [4 * (int(a) + int(b)) for a, b in zip(fs, rs)]
-        out.append([min(1.0, fisher_tails(int(x), s, s, s)[3]) for x, s in zip(ws, full)])
-    return pd.Series(out)
+    return _by_allele(lambda x, a, b: (x, 4 * (a + b), 4 * (a + b), 4 * (a + b)), w, f, r)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -113,7 +126,7 @@ def hwe_tail(hets: int, hom1: int, hom2: int) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def hwe_exact(hets: pd.Series, hom1: pd.Series, hom2: pd.Series) -> pd.Series:
-    return pd.Series([hwe_tail(*t) for t in _counts(hets, hom1, hom2)], dtype=float)
+    return pd.Series([hwe_tail(*t) for t in _counts(hets, hom1, hom2).tolist()], dtype=float)
 
 
 def chi2_yates(a: Column, b: Column, c: Column, d: Column) -> Column:

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociform.functions.codes import ALLELES, BASES, GENOTYPES, CallerConfig
+from lociform.functions.codes import BASES, GENOTYPES, CallerConfig
 from lociform.functions.genotype import called, genotype_likelihoods
 from lociform.operators.flanks import flank_metrics, neighbour_biases
 from lociform.operators.intervals import near_points
 from lociform.operators.pileup import site_totals
 from lociform.operators.reference import slices
+from lociform.plans.tables import materialized
 
+#: Positions of a bin when sites meet the reference's runs, most of which are short.
+RUN_BIN = 64
 _INDEL = "array<struct<kind: string, length: int, seq: string, hq: bigint, lq: bigint>>"
 
 
@@ -62,11 +65,16 @@ def candidates(piled: DataFrame, top: DataFrame, chunks: DataFrame, config: Call
 
 
 def enriched(found: DataFrame, piled: DataFrame, runs: DataFrame, strict: bool = False) -> DataFrame:
-    """Candidates with flank metrics, biases and the homopolymer run they lie in."""
+    """Candidates with flank metrics, biases and the homopolymer run they lie in.
+
+    The candidates are used four times and the pileup twice: ``found`` is written once to the
+    checkpoint folder, so that the model isn't worked out again for each; ``piled`` should be.
+    """
+    found = materialized(found)
     keys = found.select("chrom", "pos", "skip", "is_indel")
     flanks = flank_metrics(keys, site_totals(piled), strict)
     biases = neighbour_biases(keys, piled)
-    hrun = near_points(keys.select("chrom", "pos"), runs, 0, {"start": "run_start", "end": "run_end"})
+    hrun = near_points(keys.select("chrom", "pos"), runs, 0, {"start": "run_start", "end": "run_end"}, size=RUN_BIN)
     hrun = hrun.select("chrom", "pos", F.least(F.col("run_end") - F.col("run_start"), F.lit(65535)).alias("hrun"))
     out = found.join(flanks, ["chrom", "pos", "skip"], "left").join(biases, ["chrom", "pos", "skip"], "left").join(hrun, ["chrom", "pos"], "left")
     return out.withColumn("hrun", F.coalesce("hrun", F.lit(0)))
@@ -114,5 +122,3 @@ def unbacked_calls(calls: DataFrame) -> DataFrame:
     x, y = F.col("gt").contains("X"), F.col("gt").contains("Y")
     return calls.where((x & (F.size("indels") < 1)) | (y & (F.size("indels") < 2)))
 
-
-__all__ = ["ALLELES", "HEADER", "candidates", "enriched", "genotyped", "sites", "tsv_rows", "unbacked_calls"]

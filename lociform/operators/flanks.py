@@ -9,6 +9,8 @@ from lociform.functions.stats import base_quality_bias, strand_bias
 from lociform.operators.intervals import near_points
 
 REACH, NEAR = 100, 3
+#: Positions of a bin when frames meet positions: about a frame's length, so that few positions outside it are compared.
+FRAME_BIN = 256
 #: The frames of strict mode lie so far to the left.
 STRICT_SHIFT = 100
 
@@ -46,7 +48,7 @@ def flank_metrics(sites: DataFrame, totals: DataFrame, strict: bool = False, rea
     shift = STRICT_SHIFT if strict else 0
     keyed = sites.select("chrom", F.col("pos").alias("site"), F.col("skip").cast("long").alias("skip")).distinct()
     frames = keyed.select("chrom", (F.col("site") - reach - shift).alias("start"), (F.col("site") + F.col("skip") + reach - shift).alias("end"), "site", "skip")
-    near = near_points(_positions(totals), frames, 0, {"site": "site", "skip": "skip"})
+    near = near_points(_positions(totals), frames, 0, {"site": "site", "skip": "skip"}, size=FRAME_BIN)
     p = F.col("pos") + shift
     sides = {"left": (p >= F.col("site") - reach) & (p < F.col("site")), "right": (p >= F.col("site") + F.col("skip")) & (p < F.col("site") + F.col("skip") + reach)}
     tight = {"left": (p >= F.col("site") - NEAR) & (p < F.col("site")), "right": (p >= F.col("site") + F.col("skip")) & (p < F.col("site") + F.col("skip") + NEAR)}

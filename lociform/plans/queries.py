@@ -9,7 +9,7 @@ from lociform.functions import codes, stats, vcf_math
 from lociform.operators import candidates, flanks, intervals, pileup, reads, reference, reject, vcf, vcf_filter, wide
 from lociform.operators.multivalue import info_entry, sample_field, split_fields, whole_values
 from lociform.operators.sequences import with_sequence
-from lociform.plans.tables import table
+from lociform.plans.tables import materialized, table
 
 QUERIES = {}
 ORACLES = {}
@@ -575,7 +575,7 @@ ORACLES["genotype_unbacked"] = "select cast(0 as bigint) as n from (select count
 
 
 def _enriched(spark: SparkSession, d: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    piled, top, chunks = _called_sites(spark, d)
+    piled, top, chunks = map(materialized, _called_sites(spark, d))
     found = candidates.candidates(piled, top, chunks)
     return candidates.enriched(found, piled, reference.base_runs(reference_bases(spark, d)), strict), chunks
 
