@@ -105,30 +105,44 @@ def genotype_likelihoods(w: Column, ref_code: Column, config: CallerConfig = Cal
     return run(w, ref_code)
 
 
-def posteriors(likelihood: Column, ref_code: Column) -> Column:
-    """Likelihoods shared out over their sum, times the prior; zeros where the sum is zero."""
+def posteriors(likelihood: Column, ref_code: Column, total: Column | None = None) -> Column:
+    """Likelihoods shared out over their sum (``total``, if it is known), times the prior; zeros where the sum is zero."""
     prior = F.array(*[F.array(*[F.lit(p) for p in genotype_prior(r)]) for r in range(4)])
     own = F.element_at(prior, ref_code.cast("int") + 1)
-    total = F.aggregate(likelihood, F.lit(0.0), lambda s, x: s + x)
+    total = likelihood_sum(likelihood) if total is None else total
     return F.zip_with(likelihood, own, lambda x, p: F.coalesce(F.try_divide(x, total), F.lit(0.0)) * p)
 
 
-def called(likelihood: Column, ref_code: Column) -> Column:
-    """Struct of the call: genotype, best and second posterior, the sum of likelihoods and all posteriors.
+def ranked(flh: Column) -> Column:
+    """Genotypes by falling posterior, ties by number: array of (p, its negative; g)."""
+    return F.array_sort(F.transform(flh, lambda x, i: F.struct((-x).alias("p"), i.alias("g"))))
 
-    Ties go to the earlier genotype. Where all likelihoods are zero the call is the
-    reference's own genotype with posteriors zero.
+
+def best_two(order: Column, total: Column, ref_code: Column) -> Column:
+    """Struct (genotype, second, best_p, second_p) of ``ranked`` genotypes and the sum of likelihoods.
+
+    Where all likelihoods are zero it is the reference's own genotype with posteriors zero.
     """
-    flh = posteriors(likelihood, ref_code)
-    total = F.aggregate(likelihood, F.lit(0.0), lambda s, x: s + x)
-    ranked = F.array_sort(F.transform(flh, lambda x, i: F.struct((-x).alias("p"), i.alias("g"))))
     own = F.element_at(F.array(*[F.lit(GENOTYPES.index(b + b)) for b in "ACGT"]), ref_code.cast("int") + 1)
     none = total == 0
     return F.struct(
-        F.when(none, own).otherwise(ranked[0]["g"]).cast("int").alias("genotype"),
-        F.when(none, None).otherwise(ranked[1]["g"]).cast("int").alias("second"),
-        F.when(none, 0.0).otherwise(-ranked[0]["p"]).alias("best_p"),
-        F.when(none, 0.0).otherwise(-ranked[1]["p"]).alias("second_p"),
-        total.alias("p_d"),
-        flh.alias("flh"),
+        F.when(none, own).otherwise(order[0]["g"]).cast("int").alias("genotype"),
+        F.when(none, None).otherwise(order[1]["g"]).cast("int").alias("second"),
+        F.when(none, 0.0).otherwise(-order[0]["p"]).alias("best_p"),
+        F.when(none, 0.0).otherwise(-order[1]["p"]).alias("second_p"),
     )
+
+
+def likelihood_sum(likelihood: Column) -> Column:
+    return F.aggregate(likelihood, F.lit(0.0), lambda s, x: s + x)
+
+
+def called(likelihood: Column, ref_code: Column) -> Column:
+    """Struct of the call: genotype, best and second posterior, the sum of likelihoods and all posteriors.
+
+    Ties go to the earlier genotype. Where all likelihoods are zero the call is the
+    reference's own genotype with posteriors zero.
+    """
+    flh, total = posteriors(likelihood, ref_code), likelihood_sum(likelihood)
+    best = best_two(ranked(flh), total, ref_code)
+    return F.struct(*[best[n].alias(n) for n in ("genotype", "second", "best_p", "second_p")], total.alias("p_d"), flh.alias("flh"))

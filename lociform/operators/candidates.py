@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociform.functions.codes import BASES, GENOTYPES, CallerConfig
-from lociform.functions.genotype import called, genotype_likelihoods
+from lociform.functions.genotype import best_two, genotype_likelihoods, likelihood_sum, posteriors, ranked
 from lociform.operators.flanks import flank_metrics, neighbour_biases
 from lociform.operators.intervals import near_points
 from lociform.operators.pileup import site_totals
 from lociform.operators.reference import slices
-from lociform.plans.tables import materialized
+from lociform.plans.tables import materialized, once
 
 #: Positions of a bin when sites meet the reference's runs, most of which are short.
 RUN_BIN = 64
@@ -50,9 +50,12 @@ def sites(piled: DataFrame, top: DataFrame, chunks: DataFrame) -> DataFrame:
 def genotyped(found: DataFrame, config: CallerConfig = CallerConfig()) -> DataFrame:
     """Adds the likelihoods and the call (``gt`` as letters, best_p, second_p, p_d, flh)."""
     scored = found.withColumn("likelihood", genotype_likelihoods(F.col("w6"), F.col("ref_code"), config))
-    call = scored.withColumn("_c", called(F.col("likelihood"), F.col("ref_code")))
+    # each step stands behind a generator, as the optimiser would copy sums and sorts of arrays into all their uses
+    shares = once(once(scored.withColumn("p_d", likelihood_sum(F.col("likelihood")))).withColumn("flh", posteriors(F.col("likelihood"), F.col("ref_code"), F.col("p_d"))))
+    order = once(shares.withColumn("_o", ranked(F.col("flh"))))
+    call = order.withColumn("_c", best_two(F.col("_o"), F.col("p_d"), F.col("ref_code")))
     name = F.element_at(F.array(*map(F.lit, GENOTYPES)), F.col("_c.genotype") + 1)
-    return call.select(*scored.columns, name.alias("gt"), "_c.best_p", "_c.second_p", "_c.p_d", "_c.flh")
+    return call.select(*scored.columns, name.alias("gt"), "_c.best_p", "_c.second_p", "p_d", "flh")
 
 
 def candidates(piled: DataFrame, top: DataFrame, chunks: DataFrame, config: CallerConfig = CallerConfig()) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociform.plans.tables import once
+
 FIELDS = ["chrom", "pos", "id", "ref_allele", "alt", "qual", "filter_tag", "info", "format_keys", "sample_call"]
 #: Types of the fields that aren't text; they are read as text, so that casts can be checked more strictly than the reader does.
 TYPES = {"pos": "bigint", "qual": "double"}
@@ -39,10 +41,10 @@ def parse_records(df: DataFrame, ident: str, line: str) -> DataFrame:
     # quoted fields give way to a bare token; a quote that is left over is broken
     bare = F.when(raw.contains('"'), F.regexp_replace(raw, r'(^|\t)"[^"]*+(?:""[^"]*+)*+"(?=\t|\z)', "$1q")).otherwise(raw)
     tabs = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\t"), F.lit("")))
-    counted = _once(rows.select("ident", "_line", bare.alias("_bare")).select("*", tabs(F.col("_bare")).alias("_tabs")))
+    counted = once(rows.select("ident", "_line", bare.alias("_bare")).select("*", tabs(F.col("_bare")).alias("_tabs")))
     # the reader's columns are bounded: a line of far too many fields is corrupt without being read
     read = F.when(F.col("_tabs") <= _MOST_TABS, F.from_csv("_line", SCHEMA, _CSV | {"columnNameOfCorruptRecord": "_corrupt"}))
-    parsed = _once(counted.select("*", read.alias("_t")))
+    parsed = once(counted.select("*", read.alias("_t")))
     # reclassification: of what the reader flagged, and of what its leniency let through
     frac, qd = _entry(F.col("_t.info"), "FRAC"), _entry(F.col("_t.info"), "QD")
     number = lambda c: F.coalesce(c.rlike(f"^{_NUMBER}\\z"), F.lit(False))
@@ -56,7 +58,7 @@ def parse_records(df: DataFrame, ident: str, line: str) -> DataFrame:
         F.when(F.col("_bare").contains('"'), "quoting").when(F.col("_tabs") != len(FIELDS) - 1, "columns")
         .when(~pos_ok, "pos").when(~qual_ok, "qual").when(~info_ok, "info")
     )
-    checked = _once(parsed.select("ident", "_line", "_t", reason.alias("reason")))
+    checked = once(parsed.select("ident", "_line", "_t", reason.alias("reason")))
     valid = F.col("reason").isNull()
     value = lambda f: F.when(valid & (F.col(f"_t.{f}") != "."), F.col(f"_t.{f}"))
     return checked.select(
@@ -67,11 +69,6 @@ def parse_records(df: DataFrame, ident: str, line: str) -> DataFrame:
     )
 
 
-def _once(df: DataFrame) -> DataFrame:
-    """``df`` behind a generator of one row, so that what it works out isn't worked out again by each use."""
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
-
-
 def valid_records(df: DataFrame, ident: str, line: str) -> DataFrame:
     return parse_records(df, ident, line).where("reason is null").drop("reason", "corrupt_text")
 

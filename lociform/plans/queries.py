@@ -9,7 +9,7 @@ from lociform.functions import codes, stats, vcf_math
 from lociform.operators import candidates, flanks, intervals, pileup, reads, reference, reject, vcf, vcf_filter, wide
 from lociform.operators.multivalue import info_entry, sample_field, split_fields, whole_values
 from lociform.operators.sequences import with_sequence
-from lociform.plans.tables import materialized, table
+from lociform.plans.tables import materialized, spread, table
 
 QUERIES = {}
 ORACLES = {}
@@ -20,6 +20,10 @@ def query(f):
     return f
 
 
+def _reads(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "aligned_reads"))
+
+
 # problem 2
 
 
@@ -163,7 +167,7 @@ _REFERENCE = "select concat('chr', cast(floor(p_partkey / 100) as int)) as chrom
 
 @query
 def reads_usable(spark: SparkSession, d: str) -> DataFrame:
-    return reads.usable_reads(table(spark, d, "aligned_reads")).select("read_id", "forward", F.length("bases").alias("n_bases"))
+    return reads.usable_reads(_reads(spark, d)).select("read_id", "forward", F.length("bases").alias("n_bases"))
 
 
 _USABLE = f"""
@@ -181,7 +185,7 @@ ORACLES["reads_usable"] = _USABLE + "select read_id, (flag & 16) = 0 as forward,
 
 @query
 def reads_cigar_ops(spark: SparkSession, d: str) -> DataFrame:
-    ops = table(spark, d, "aligned_reads").select(F.inline(reads.cigar_ops(F.col("cigar"))))
+    ops = _reads(spark, d).select(F.inline(reads.cigar_ops(F.col("cigar"))))
     return ops.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("bases"))
 
 
@@ -194,7 +198,7 @@ select op, count(*) as n, cast(sum(n) as bigint) as bases from (
 
 @query
 def reads_pileup(spark: SparkSession, d: str) -> DataFrame:
-    piled = pileup.pileup(reads.aligned_bases(table(spark, d, "aligned_reads")))
+    piled = pileup.pileup(reads.aligned_bases(_reads(spark, d)))
     return piled.select("chrom", "pos", *[F.col(x)[k].alias(f"{x}{k}") for x in "wfr" for k in range(4)])
 
 
@@ -211,7 +215,7 @@ select chrom, cast(pos as bigint) as pos, """ + ", ".join(
 
 @query
 def reads_indels(spark: SparkSession, d: str) -> DataFrame:
-    return pileup.indel_pileup(reads.read_indels(table(spark, d, "aligned_reads")))
+    return pileup.indel_pileup(reads.read_indels(_reads(spark, d)))
 
 
 ORACLES["reads_indels"] = _USABLE + f"""
@@ -227,7 +231,7 @@ select chrom, pos, kind, length, seq, count(*) filter (high) as hq, count(*) fil
 
 @query
 def reads_soft_clips(spark: SparkSession, d: str) -> DataFrame:
-    return pileup.clip_counts(reads.soft_clips(table(spark, d, "aligned_reads")))
+    return pileup.clip_counts(reads.soft_clips(_reads(spark, d)))
 
 
 ORACLES["reads_soft_clips"] = _USABLE + """
@@ -238,7 +242,7 @@ select chrom, pos, count(*) filter (later) as left_count, count(*) filter (not l
 
 @query
 def reads_qc(spark: SparkSession, d: str) -> DataFrame:
-    return reads.alignment_qc(table(spark, d, "aligned_reads"))
+    return reads.alignment_qc(_reads(spark, d))
 
 
 ORACLES["reads_qc"] = f"""
@@ -371,7 +375,7 @@ ORACLES["pileup_realigned"] = _OBSERVED + ", twice as (select * from obs union a
 @query
 def reads_clips_less_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Clips of all reads less those of the reads marked as duplicates."""
-    r = table(spark, d, "aligned_reads")
+    r = _reads(spark, d)
     unmarked = r.withColumn("flag", F.col("flag").bitwiseAND(~1024))
     return pileup.clip_counts(reads.soft_clips(unmarked), reads.soft_clips(unmarked.where(r["flag"].bitwiseAND(1024) != 0)))
 
@@ -444,7 +448,7 @@ where exists (select 1 from mer where mer.chrom = p.chrom and p.pos >= a and p.p
 @query
 def regions_soft_clips(spark: SparkSession, d: str) -> DataFrame:
     """Soft clips that lie within the margin of a call's position, both ends included."""
-    clips = pileup.clip_counts(reads.soft_clips(table(spark, d, "aligned_reads")))
+    clips = pileup.clip_counts(reads.soft_clips(_reads(spark, d)))
     calls = with_sequence(table(spark, d, "vcf").select("chrom", "pos"), table(spark, d, "seq_dict"))
     near = intervals.normalised(calls.select(F.col("seq_name").alias("chrom"), (F.col("pos") - 1001).alias("start"), (F.col("pos") + 999).alias("end")))
     return intervals.points_in_regions(clips, near)
@@ -859,7 +863,7 @@ select chrom, het, hom, other, round(least(1.0, sum(p) filter (p <= own * (1 + 1
 @query
 def calls_indel_support(spark: SparkSession, d: str) -> DataFrame:
     """Read support of the indel calls, against the reads' own consensus as reference."""
-    r = table(spark, d, "aligned_reads")
+    r = _reads(spark, d)
     best = F.array_position(F.col("w"), F.array_max("w")).cast("int") - 1
     consensus = pileup.pileup(reads.aligned_bases(r)).select("chrom", "pos", best.alias("ref_code"))
     support = vcf_filter.indel_support(_named_calls(spark, d), "rec_id", r, reference.chunks_of_bases(consensus))

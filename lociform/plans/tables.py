@@ -35,6 +35,16 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table in as many parts as tasks run at once, if it is in fewer.
+
+    For small tables in one file whose rows are costly to work on or give many rows; a
+    large table has more parts and comes back as it is.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def at_most(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; reading stops once they are passed."""
     return df.limit(max_rows + 1).count() <= max_rows
@@ -67,6 +77,11 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def once(df: DataFrame) -> DataFrame:
+    """``df`` behind a generator of one row, so that what it works out isn't worked out again by each use."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def fresh(name: str, *frames: DataFrame) -> str:
     """``name``, with underscores added until no frame has a column of that name."""
     taken = {c.lower() for f in frames for c in f.columns}
