@@ -13,7 +13,7 @@ from lociform.llm.sketch import merge_sketches, percentile_sketches, percentiles
 from lociform.llm.splitting import split_oversized
 from lociform.operators.sequences import with_sequence
 from lociform.operators.wide import number
-from lociform.plans.tables import table
+from lociform.plans.tables import spread, table
 
 QUERIES = {}
 ORACLES = {}
@@ -61,7 +61,7 @@ ORACLES["p1_cutoffs"] = _P1 + (
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
-    return split_oversized(table(spark, d, "aligned_reads"), "read_id", "seq", limit=2000, overlap=200)
+    return split_oversized(spread(table(spark, d, "aligned_reads")), "read_id", "seq", limit=2000, overlap=200)
 
 
 @query
@@ -207,7 +207,7 @@ ORACLES["p7_fit"] = "select count(*) as n_texts, cast(0 as bigint) as n_over fro
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leaked_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
+    return leaked_passages(spread(table(spark, d, "documents")), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
 
 
 @query
@@ -250,7 +250,7 @@ ORACLES["p8_items"] = _P8 + "select item as item_id, count(distinct doc) as n_do
 
 
 def _language_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, language.Filters]:
-    docs, names = table(spark, d, "documents").select("doc_id", "text", "lang"), table(spark, d, "lang_names")
+    docs, names = spread(table(spark, d, "documents").select("doc_id", "text", "lang")), table(spark, d, "lang_names")
     return docs, names, language.fit_filters(docs, table(spark, d, "lang_labels"), names)
 
 
