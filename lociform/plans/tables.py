@@ -58,23 +58,30 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if at_most(df, max_rows) else df
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, so that it isn't computed again.
+def can_materialize(df: DataFrame) -> bool:
+    """Whether there is a folder for ``materialized``; the session's is set up on the way.
 
-    The folder is the session's. Where none is set, a session on one machine (a test) takes
-    a temporary one; on a cluster, whose executors would each write to their own disk,
-    ``df`` comes back as it is and is computed wherever it is used.
+    Where the session names none, one on a single machine (a test) takes a temporary folder,
+    removed when it ends; a cluster has none, as its executors would each write to their own disk.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not re.fullmatch(r"local(\[.*\])?", sc.master):
-                return df
+                return False
             folder = tempfile.mkdtemp(prefix="lociform-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    return True
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder, so that it isn't computed again.
+
+    Without such a folder ``df`` comes back as it is and is computed wherever it is used.
+    """
+    return df.checkpoint() if can_materialize(df) else df
 
 
 def once(df: DataFrame) -> DataFrame:
