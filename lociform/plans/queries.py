@@ -44,6 +44,13 @@ def p2_wide(spark: SparkSession, d: str) -> DataFrame:
     return _wide(spark, d).withColumnRenamed("entity", "call_id")
 
 
+@query
+def p2_wide_text(spark: SparkSession, d: str) -> DataFrame:
+    """``p2_wide`` with its cast failures as one text, in order of the attributes."""
+    entries = F.transform(F.array_sort(F.map_entries("cast_failures")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return p2_wide(spark, d).withColumn("cast_failures", F.array_join(entries, "\n"))
+
+
 @query
 def p2_unknown_attributes(spark: SparkSession, d: str) -> DataFrame:
     return wide.unknown_attributes(table(spark, d, "info_attrs"), "call_id", "attr", "val").withColumnRenamed("entity", "call_id")
@@ -60,6 +67,30 @@ n as (
 select call_id, attr, cast(round(arg_max(v, (recorded_at, attr_row_id)) * 1000) as bigint) as val_milli from n where v is not null group by call_id, attr
 """
 
+_NUMERIC = [k for k, t in wide.INFO_TYPES.items() if t != "string"]
+
+
+def _wide_sql() -> str:
+    names = ", ".join(f"('{k.lower()}', '{k}', {str(k in _NUMERIC).lower()})" for k in wide.INFO_TYPES)
+    best = lambda k, c: f"max(best.{c}) filter (attr = '{k}')"
+    whole = lambda k: f"case when {best(k, 'v')} = floor({best(k, 'v')}) then try_cast({best(k, 'v')} as int) end"
+    value = {k: best(k, "val") if t == "string" else whole(k) if t == "int" else best(k, "v") for k, t in wide.INFO_TYPES.items()}
+    lost = [f"'{k}=' || coalesce(max(failed) filter (attr = '{k}'), case when {value[k]} is null then {best(k, 'val')} end)" for k in sorted(wide.INFO_TYPES)]
+    return rf"""
+with names(low, attr, is_number) as (values {names}),
+a as (select call_id, n.attr, is_number, val, trim(val, ' "''') as t, recorded_at, attr_row_id from info_attrs
+  join names n on n.low = regexp_replace(lower(trim(info_attrs.attr)), '^info[/.:]', '') where call_id in (select rec_id from vcf where info is null)),
+b as (select *, case when regexp_full_match(t, '[+-]?[0-9]+([.,][0-9]+)?([eE][+-]?[0-9]+)?%?')
+    then try_cast(replace(replace(t, '%', ''), ',', '.') as double) / case when right(t, 1) = '%' then 100 else 1 end end as v from a),
+g as (select *, case when is_number then v is not null else coalesce(trim(val), '') <> '' end as good from b),
+r as (select call_id, attr, arg_max({{'val': val, 'v': v}}, (recorded_at, attr_row_id)) filter (good) as best, arg_max(val, (recorded_at, attr_row_id)) filter (not good and val is not null) as failed
+  from g group by call_id, attr)
+select call_id, {", ".join(f'{v} as "{k}"' for k, v in value.items())}, concat_ws(chr(10), {", ".join(lost)}) as cast_failures from r group by call_id
+"""
+
+
+ORACLES["p2_wide_text"] = _wide_sql()
+
 ORACLES["p2_unknown_attributes"] = f"""
 select call_id, attr, val from info_attrs where attr is null or regexp_replace(lower(trim(attr)), '^info[/.:]', '') not in ({', '.join(repr(k.lower()) for k in wide.INFO_TYPES)})
 """
@@ -131,7 +162,7 @@ with obs as (
     case when l.l_partkey % 7 = 0 and l.l_orderkey % 2 = 0 then (p.p_size + 2) % 4 when l.l_partkey % 11 = 0 then (p.p_size + 1) % 4 else p.p_size % 4 end as code,
     case when l.l_quantity > 20 then 4 when l.l_quantity > 17 then 3 when l.l_quantity > 13 then 2 when l.l_quantity > 10 then 1 else 0 end as weight,
     l.l_linenumber % 2 = 1 as forward, l.l_orderkey, l.l_linenumber, l.l_suppkey
-  from lineitem l join part p on l.l_partkey = p.p_partkey where l.l_orderkey % 20 <> 0)
+  from lineitem l join part p on l.l_partkey = p.p_partkey)
 """
 _CLEAN = "replace(upper(regexp_replace(seq, '\\s+', '', 'g')), '.', 'N')"
 
@@ -139,7 +170,7 @@ _CLEAN = "replace(upper(regexp_replace(seq, '\\s+', '', 'g')), '.', 'N')"
 def observed(spark: SparkSession, d: str) -> DataFrame:
     """Base observations: ``chrom, pos, ref_code, code, weight, forward`` and the line's keys."""
     l, p = table(spark, d, "lineitem"), table(spark, d, "part")
-    rows = l.join(p, F.col("l_partkey") == F.col("p_partkey")).where("l_orderkey % 20 <> 0")
+    rows = l.join(p, F.col("l_partkey") == F.col("p_partkey"))
     own = F.col("p_size") % 4
     code = F.when((F.col("l_partkey") % 7 == 0) & (F.col("l_orderkey") % 2 == 0), (F.col("p_size") + 2) % 4)
     return rows.select(
@@ -254,6 +285,24 @@ select count(*) as total_reads, count(*) filter (unplaced) as unaligned_reads, c
 """
 
 
+@query
+def reads_qc_targets(spark: SparkSession, d: str) -> DataFrame:
+    """The quality report with the aligned bases that lie within 500 positions of a call."""
+    calls = with_sequence(table(spark, d, "vcf").select("chrom", "pos"), table(spark, d, "seq_dict"))
+    near = calls.select(F.col("seq_name").alias("chrom"), F.greatest(F.col("pos") - 500, F.lit(1)).alias("start"), (F.col("pos") + 501).alias("end"))
+    return reads.alignment_qc(_reads(spark, d), intervals.merged(near))
+
+
+ORACLES["reads_qc_targets"] = _USABLE + """
+, m as (select u.chrom, u.pos + g as a, n from w join u using (read_id) where op = 'M'),
+b as (select chrom, unnest(range(cast(a as bigint), cast(a + n as bigint))) as pos from m),
+c as (select distinct s.chrom, v.pos from vcf v join seq_dict s on lower(trim(v.chrom)) in (lower(trim(s.chrom)), lower(trim(s.short_name)))),
+t as (select distinct chrom, unnest(range(greatest(pos - 500, 1), pos + 501)) as pos from c), h as (select count(*) as target_aligned_length from b join t using (chrom, pos)),
+q as (""" + ORACLES["reads_qc"].replace(", cast(null as bigint) as target_aligned_length", "") + """)
+select q.*, h.target_aligned_length from q, h
+"""
+
+
 @query
 def pileup_base(spark: SparkSession, d: str) -> DataFrame:
     piled = pileup.site_totals(pileup.pileup(observed(spark, d)))
@@ -276,7 +325,7 @@ def pileup_retracted(spark: SparkSession, d: str) -> DataFrame:
     return left.select("chrom", "pos", *[F.col(x)[k].alias(f"{x}{k}") for x in "wfr" for k in range(4)])
 
 
-ORACLES["pileup_retracted"] = _OBSERVED.replace("where l.l_orderkey % 20 <> 0", "where l.l_orderkey % 20 <> 0 and l.l_linenumber <> 1") + "select chrom, pos, " + ", ".join(
+ORACLES["pileup_retracted"] = _OBSERVED.replace("l.l_partkey = p.p_partkey)", "l.l_partkey = p.p_partkey where l.l_linenumber <> 1)") + "select chrom, pos, " + ", ".join(
     [f"cast(coalesce(sum(weight) filter (code = {k}), 0) as bigint) as w{k}" for k in range(4)]
     + [f"count(*) filter (code = {k} and forward) as f{k}" for k in range(4)] + [f"count(*) filter (code = {k} and not forward) as r{k}" for k in range(4)]
 ) + " from obs group by chrom, pos"
@@ -575,7 +624,15 @@ def genotype_unbacked(spark: SparkSession, d: str) -> DataFrame:
     return calls.agg(F.count(F.lit(1)).alias("n"))
 
 
-ORACLES["genotype_unbacked"] = "select cast(0 as bigint) as n from (select count(*) from lineitem)"
+def _unbacked_sql() -> str:
+    called = ORACLES["genotype_calls"].replace("coalesce(max(4 * hq) filter (place = 2), 0) as y from k", "coalesce(max(4 * hq) filter (place = 2), 0) as y, max(place) as backing from k")
+    at = called.rindex("\nselect chrom, pos, substr(") if "\nselect chrom, pos, substr(" in called else called.rindex("select chrom, pos, substr(")
+    return called[:at] + """, named as (select chrom, pos, case when max(p_d) = 0 then '' else max(gt) filter (i = 1) end as gt from rnk group by chrom, pos)
+select count(*) as n from named left join (select chrom, pos, backing from x) b using (chrom, pos)
+  where (gt like '%X%' and coalesce(backing, 0) < 1) or (gt like '%Y%' and coalesce(backing, 0) < 2)"""
+
+
+ORACLES["genotype_unbacked"] = _unbacked_sql()
 
 
 def _enriched(spark: SparkSession, d: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
