@@ -70,6 +70,24 @@ def indel_pileup(indels: DataFrame, config: CallerConfig = CallerConfig()) -> Da
     return rows.groupBy("chrom", "pos", "kind", "length", "seq").agg(F.count_if(high).alias("hq"), F.count_if(~high).alias("lq"))
 
 
+def retract_indels(indels: DataFrame, gone: DataFrame, config: CallerConfig = CallerConfig()) -> DataFrame:
+    """Counts of ``indels`` with those of whole reads taken back, high and low quality each; what falls to zero has no row."""
+    counts = indel_pileup(indels, config).unionByName(indel_pileup(gone, config).withColumns({"hq": -F.col("hq"), "lq": -F.col("lq")}))
+    left = counts.groupBy("chrom", "pos", "kind", "length", "seq").agg(F.greatest(F.sum("hq"), F.lit(0)).alias("hq"), F.greatest(F.sum("lq"), F.lit(0)).alias("lq"))
+    return left.where("hq > 0 or lq > 0")
+
+
+def realign_indels(indels: DataFrame, realigned: DataFrame, start: int, end: int, config: CallerConfig = CallerConfig()) -> DataFrame:
+    """Counts with the indels of realigned reads added inside ``[start, end]``."""
+    return indel_pileup(indels.unionByName(realigned.where(F.col("pos").between(start, end))), config)
+
+
+def with_indel_saturation(piled: DataFrame, counts: DataFrame) -> DataFrame:
+    """Pileup whose ``is_saturated`` also marks the positions of indels with as many reads as a 16-bit counter holds."""
+    full = counts.where((F.col("hq") >= INDEL_LIMIT) | (F.col("lq") >= INDEL_LIMIT)).select("chrom", "pos", F.lit(True).alias("_full")).distinct()
+    return piled.join(full, ["chrom", "pos"], "left").withColumn("is_saturated", F.col("is_saturated") | F.coalesce("_full", F.lit(False))).drop("_full")
+
+
 def top_indels(counts: DataFrame) -> DataFrame:
     """The best and second indel of each anchor: ``chrom, pos, indels, total_hq, total_lq``.
 
@@ -100,6 +118,12 @@ def clip_counts(clips: DataFrame, gone: DataFrame | None = None) -> DataFrame:
     return counts.where("left_count > 0 or right_count > 0")
 
 
+def clips_at(sites: DataFrame, counts: DataFrame) -> DataFrame:
+    """Adds ``n_clips``, the clips of both sides at each site's own position, 0 where there are none."""
+    n = counts.select("chrom", "pos", (F.col("left_count") + F.col("right_count")).alias("_n"))
+    return sites.join(n, ["chrom", "pos"], "left").withColumn("n_clips", F.coalesce("_n", F.lit(0))).drop("_n")
+
+
 def position_support(piled: DataFrame, indel_counts: DataFrame) -> DataFrame:
     """Reads at each position, deletions included: ``chrom, pos, support``."""
     reads = piled.select("chrom", "pos", (_total(F.col("f")) + _total(F.col("r"))).alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociform.functions.vcf_math import max_depth
@@ -53,8 +53,8 @@ def mode_depth(vcf: DataFrame, group: str) -> DataFrame:
 def known_alleles(dbsnp: DataFrame) -> DataFrame:
     """One row per known allele: ``chrom, pos, ref_allele, alt, rsid``; of repeated entries the last delivered counts."""
     each = dbsnp.select("snp_id", F.lower(F.trim("chrom")).alias("chrom"), "pos", "ref_allele", "rsid", F.explode(F.regexp_extract_all("alt", F.lit("(<[^<>]*>|[^,;|/\\s\"']+)"), 1)).alias("alt"))
-    place = Window.partitionBy("chrom", "pos", "ref_allele", "alt").orderBy(F.desc("snp_id"))
-    return each.withColumn("_k", F.row_number().over(place)).where("_k = 1 and rsid is not null").drop("_k", "snp_id")
+    last = each.groupBy("chrom", "pos", "ref_allele", "alt").agg(F.max_by(F.struct("rsid"), F.struct("snp_id", "rsid")).alias("_l"))
+    return last.select("chrom", "pos", "ref_allele", "alt", "_l.rsid").where("rsid is not null")
 
 
 def annotated(vcf: DataFrame, dbsnp: DataFrame, ident: str) -> DataFrame:

@@ -181,11 +181,11 @@ def observed(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def observed_indels(spark: SparkSession, d: str) -> DataFrame:
+def observed_indels(spark: SparkSession, d: str, *keys: str) -> DataFrame:
     rows = observed(spark, d).where("(pos % 13 = 0 and l_linenumber % 3 = 0) or pos % 17 = 0")
     ins = (F.col("pos") % 13 == 0) & (F.col("l_linenumber") % 3 == 0)
     size = F.when(ins, 1 + F.col("l_suppkey") % 3).otherwise(1 + F.col("l_linenumber") % 2).cast("int")
-    return rows.select("chrom", "pos", F.when(ins, "I").otherwise("D").alias("kind"), size.alias("length"), F.when(ins, F.repeat(F.lit("G"), size)).alias("seq"), "weight")
+    return rows.select("chrom", "pos", F.when(ins, "I").otherwise("D").alias("kind"), size.alias("length"), F.when(ins, F.repeat(F.lit("G"), size)).alias("seq"), "weight", *keys)
 
 
 def reference_bases(spark: SparkSession, d: str) -> DataFrame:
@@ -347,6 +347,31 @@ def pileup_indels(spark: SparkSession, d: str) -> DataFrame:
 ORACLES["pileup_indels"] = _INDELS + "select * from cnt"
 
 
+def _first_lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = observed_indels(spark, d, "l_linenumber")
+    return rows.drop("l_linenumber"), rows.where("l_linenumber = 1").drop("l_linenumber")
+
+
+@query
+def pileup_indels_retracted(spark: SparkSession, d: str) -> DataFrame:
+    """Indel counts after taking back those of open orders' first lines."""
+    return pileup.retract_indels(*_first_lines(spark, d))
+
+
+ORACLES["pileup_indels_retracted"] = _INDELS.replace("from obs where", "from obs where l_linenumber <> 1 and (").replace("or pos % 17 = 0),", "or pos % 17 = 0)),") + "select * from cnt"
+
+
+@query
+def pileup_indels_realigned(spark: SparkSession, d: str) -> DataFrame:
+    """Indel counts with those of the first lines added once more inside a stretch of positions."""
+    return pileup.realign_indels(*_first_lines(spark, d), 50, 150)
+
+
+ORACLES["pileup_indels_realigned"] = _INDELS.replace("cnt as (", "twice as (select *, l_linenumber as n from ind union all select *, l_linenumber from ind where l_linenumber = 1 and pos between 50 and 150),\ncnt as (").replace(
+    "as int) as length, weight\n", "as int) as length, weight, l_linenumber\n"
+).replace("from ind group by", "from twice group by") + "select * from cnt"
+
+
 @query
 def pileup_top_indels(spark: SparkSession, d: str) -> DataFrame:
     top = pileup.top_indels(pileup.indel_pileup(observed_indels(spark, d)))
@@ -508,6 +533,19 @@ select * from q where exists (select 1 from vcf v join seq_dict s on lower(trim(
   where s.chrom = q.chrom and q.pos >= v.pos - 1000 and q.pos < v.pos + 1000)
 """
 
+@query
+def calls_soft_clips(spark: SparkSession, d: str) -> DataFrame:
+    """Soft clips at each call's own position."""
+    clips = pileup.clip_counts(reads.soft_clips(_reads(spark, d)))
+    return pileup.clips_at(_named_calls(spark, d).select("rec_id", "chrom", "pos"), clips)
+
+
+ORACLES["calls_soft_clips"] = _USABLE + """
+, s as (select chrom, cast(case when r > 0 then pos + g - 1 else pos + g end as bigint) as pos from w join u using (read_id) where op = 'S' and n >= 5),
+q as (select chrom, pos, count(*) as n from s group by chrom, pos)
+select v.rec_id, d.chrom, v.pos, coalesce(q.n, 0) as n_clips from vcf v join seq_dict d on lower(trim(v.chrom)) in (lower(trim(d.chrom)), lower(trim(d.short_name))) left join q on q.chrom = d.chrom and q.pos = v.pos
+"""
+
 # the model
 
 
@@ -567,8 +605,9 @@ ORACLES["genotype_names"] = _OBSERVED + "select ref_code, code, cast(4 * least(r
 
 
 def _called_sites(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    piled = pileup.pileup(observed(spark, d))
-    top = pileup.top_indels(pileup.indel_pileup(observed_indels(spark, d)))
+    counts = pileup.indel_pileup(observed_indels(spark, d))
+    piled = pileup.with_indel_saturation(pileup.pileup(observed(spark, d)), counts)
+    top = pileup.top_indels(counts)
     return piled, top, reference.chunks_of_bases(reference_bases(spark, d))
 
 

@@ -25,55 +25,80 @@ INFO_LINES = (
 )
 
 
+def filter_lines(t: Thresholds) -> list[str]:
+    tags = {
+        "QUALlow": f"QUAL<{t.min_qual}", "DPhigh": f"DP above the most frequent by {t.max_dp_multiplier} times its root", "DPlow": f"DP<{t.min_dp}", "SORhigh": f"SOR>{t.max_sor_snp} at SNPs",
+        "FShigh": f"SBFisherPhredAlt>{t.max_fs_indel} at indels", "FRAClow": f"FRAC<{t.min_frac_snp} at SNPs or <{t.min_frac_indel} at indels",
+        "SClow": f"strand count of an ALT<{t.min_strand_count} at SNPs", "QDlow": f"QD<{t.min_qd_snp} at SNPs or <{t.min_qd_indel} at indels",
+    }
+    return [f'##FILTER=<ID={k},Description="{v}">' for k, v in tags.items()]
+
+
+def with_filter_lines(header: list[str], thresholds: Thresholds | None) -> list[str]:
+    """Header lines as they are, with those of the filters before ``#CHROM``."""
+    at = next((i for i, line in enumerate(header) if line.startswith("#CHROM")), len(header))
+    return header[:at] + (filter_lines(thresholds) if thresholds else []) + header[at:]
+
+
 def vcf_header(sample: str, thresholds: Thresholds | None = None) -> list[str]:
     """Header lines of a VCF file; with thresholds, those of its filters too."""
     line = lambda kind, i, n, t, d: f'##{kind}=<ID={i},Number={n},Type={t},Description="{d}">'
-    out = ["##fileformat=VCFv4.1", *[line("FORMAT", *x) for x in FORMAT_LINES], *[line("INFO", *x) for x in INFO_LINES]]
-    if t := thresholds:
-        tags = {
-            "QUALlow": f"QUAL<{t.min_qual}", "DPhigh": f"DP above the most frequent by {t.max_dp_multiplier} times its root", "DPlow": f"DP<{t.min_dp}", "SORhigh": f"SOR>{t.max_sor_snp} at SNPs",
-            "FShigh": f"SBFisherPhredAlt>{t.max_fs_indel} at indels", "FRAClow": f"FRAC<{t.min_frac_snp} at SNPs or <{t.min_frac_indel} at indels",
-            "SClow": f"strand count of an ALT<{t.min_strand_count} at SNPs", "QDlow": f"QD<{t.min_qd_snp} at SNPs or <{t.min_qd_indel} at indels",
-        }
-        out += [f'##FILTER=<ID={k},Description="{v}">' for k, v in tags.items()]
-    return [*out, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", sample])]
-
-
-def _ordered_text(lines: DataFrame, header: list[str], order: list[Column], path: str, one_file: bool) -> None:
-    """Header and lines in order, range-partitioned; as one file only where that is asked for."""
-    spark = lines.sparkSession
-    head = spark.createDataFrame([(-1, i, t) for i, t in enumerate(header)], "part long, no long, value string")
-    body = lines.select(F.row_number().over(_global(order)).cast("long").alias("no"), "value") if one_file else None
-    if body is not None:
-        both = head.unionByName(body.select(F.lit(0).cast("long").alias("part"), "no", "value"))
-        both.coalesce(1).sortWithinPartitions("part", "no").select("value").write.mode("overwrite").text(path)
-    else:
-        lines.orderBy(*order).select("value").write.mode("overwrite").text(path)
-        head.coalesce(1).sortWithinPartitions("no").select("value").write.mode("append").text(path)
+    out = ["##fileformat=VCFv4.1", *([] if thresholds else ['##FILTER=<ID=LowQual,Description="Low quality">']), *[line("FORMAT", *x) for x in FORMAT_LINES], *[line("INFO", *x) for x in INFO_LINES]]
+    return with_filter_lines([*out, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", sample])], thresholds)
 
 
-def _global(order: list[Column]):
-    from pyspark.sql import Window
+def genome_order(chrom: Column) -> list[Column]:
+    """Order of sequence names without a dictionary: numbered ones by number, then the others by name, ``chr`` aside."""
+    name = F.regexp_replace(chrom, "^[cC][hH][rR]", "")
+    return [F.when(name.rlike("^[0-9]{1,18}$"), name.try_cast("long")).asc_nulls_last(), name.asc(), chrom.asc()]
 
-    return Window.orderBy(*order)
 
+def _ordered_text(lines: DataFrame, header: list[str], rest: list[str], seq_dict: DataFrame | None, path: str, one_file: bool) -> None:
+    """Header and lines in one order over all parts, so that the first part begins with the header.
 
-def write_vcf(records: DataFrame, path: str, sample: str = "sample", thresholds: Thresholds | None = None, one_file: bool = False) -> None:
-    """Records as VCF text in order of sequence and position; nulls become ``.``.
-
-    By default a folder of ordered part files with the header in a part of its own; a
-    single file passes through one task and is meant for small results.
+    Lines have ``chrom, value`` and the columns ``rest``; sequences come in the order of the
+    dictionary (``chrom, chrom_idx``) where there is one, unknown names behind it.
+    """
+    spark, keys = lines.sparkSession, [f"k{i}" for i in range(len(rest))]
+    if seq_dict is not None:
+        known = seq_dict.select(F.col("chrom").alias("_name"), F.col("chrom_idx").cast("long").alias("idx"))
+        lines = lines.join(known, F.col("chrom") == F.col("_name"), "left")
+    else:
+        lines = lines.withColumn("idx", F.lit(0).cast("long"))
+    body = lines.select(F.lit(1).alias("part"), F.lit(0).alias("no"), "idx", "chrom", *[F.col(c).alias(k) for c, k in zip(rest, keys)], "value")
+    head = spark.createDataFrame(list(enumerate(header)), "no int, value string").withColumn("part", F.lit(0))
+    order = [F.col("part"), F.col("no"), F.col("idx").asc_nulls_last(), *genome_order(F.col("chrom")), *map(F.col, keys)]
+    both = body.unionByName(head, allowMissingColumns=True)
+    both = both.coalesce(1).sortWithinPartitions(*order) if one_file else both.orderBy(*order)
+    both.select("value").write.mode("overwrite").text(path)
+
+
+def write_vcf(records: DataFrame, path: str, sample: str = "sample", thresholds: Thresholds | None = None, one_file: bool = False, seq_dict: DataFrame | None = None, header: list[str] | None = None) -> None:
+    """Records as VCF text in order of sequence (``seq_dict``'s, else as genomes are numbered) and position; nulls become ``.``.
+
+    ``header`` takes the place of the usual header lines, as those of the file that the
+    records were read from do when they are filtered: with thresholds, the lines of the
+    filters go before ``#CHROM``, the others stay. By default a folder of ordered part
+    files, the header leading the first; a single file passes through one task and is
+    meant for small results.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
     fields = [text("chrom"), text("pos"), text("id"), text("ref_allele"), text("alt"), F.coalesce(F.format_string("%.1f", F.col("qual")), F.lit(".")), text("filter_tag"), text("info"), text("format_keys"), text("sample_call")]
     lines = records.select("chrom", "pos", "alt", F.concat_ws("\t", *fields).alias("value"))
-    _ordered_text(lines, vcf_header(sample, thresholds), [F.col("chrom"), F.col("pos"), F.col("alt")], path, one_file)
+    first = vcf_header(sample, thresholds) if header is None else with_filter_lines(header, thresholds)
+    _ordered_text(lines, first, ["pos", "alt"], seq_dict, path, one_file)
 
 
-def write_candidates(enriched: DataFrame, path: str, one_file: bool = False) -> None:
-    """The table of 98 columns as text."""
+def write_candidates(enriched: DataFrame, path: str, one_file: bool = False, seq_dict: DataFrame | None = None) -> None:
+    """The table of 98 columns as text, in the order of ``write_vcf``."""
     lines = tsv_rows(enriched).withColumnRenamed("line", "value")
-    _ordered_text(lines, ["\t".join(HEADER)], [F.col("chrom"), F.col("pos")], path, one_file)
+    _ordered_text(lines, ["\t".join(HEADER)], ["pos"], seq_dict, path, one_file)
+
+
+def write_qc(qc: DataFrame, path: str) -> None:
+    """The quality report, a line ``counter<tab>value`` for each counter."""
+    each = F.array(*[F.struct(F.lit(c).alias("counter"), F.col(c).cast("string").alias("value")) for c in qc.columns])
+    qc.select(F.inline(each)).coalesce(1).write.mode("overwrite").csv(path, sep="\t")
 
 
 def write_snapshot(piled: DataFrame, path: str) -> None:

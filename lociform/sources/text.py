@@ -90,7 +90,8 @@ def read_candidates(spark: SparkSession, *paths: str) -> DataFrame:
     seen: set[str] = set()
     unique = [n if n.lower() not in seen and not seen.add(n.lower()) else f"{n}_{i}" for i, n in enumerate(names)]
     schema = T.StructType([T.StructField(n, T.StringType() if i in texts else T.DoubleType()) for i, n in enumerate(unique)])
-    return spark.read.csv(list(paths), schema=schema, sep="\t", header=True, nullValue="*", enforceSchema=True)
+    # only the first part of a table begins with the header, so it is left out by what it says
+    return spark.read.csv(list(paths), schema=schema, sep="\t", nullValue="*").where("coalesce(Chr, '') <> 'Chr'")
 
 
 def read_annotation(spark: SparkSession, path: str) -> DataFrame:
