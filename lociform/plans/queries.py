@@ -566,9 +566,9 @@ def _fisher_sql(a: str, b: str, c: str, d: str, keep: str) -> str:
     return f"case when {n} = 0 then 1.0 else coalesce(list_sum({rest}), 0) + {p(a)} end"
 
 
+_ALLELES = ", l as (" + " union all ".join(f"select chrom, pos, {k} as code, w{k} as w, f{k} as f, r{k} as r from piled" for k in range(4)) + ")"
 ORACLES["bias_by_base"] = (
-    _PILED
-    + ", l as (" + " union all ".join(f"select chrom, pos, {k} as code, w{k} as w, f{k} as f, r{k} as r from piled" for k in range(4)) + ")"
+    _PILED + _ALLELES
     + f" select chrom, pos, cast(code as int) as code, round(least(1.0, {_fisher_sql('f', 'r', '((f + r) // 2)', '((f + r) // 2)', '(1 - 1e-7)')}), 6) as sb,"
     + f" round(least(1.0, {_fisher_sql('w', '(4 * (f + r))', '(4 * (f + r))', '(4 * (f + r))', '(1 - 1e-7)')}), 6) as bqb from l"
 )
@@ -675,7 +675,8 @@ ORACLES["genotype_unbacked"] = _unbacked_sql()
 
 
 def _enriched(spark: SparkSession, d: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    piled, top, chunks = map(materialized, _called_sites(spark, d))
+    piled, top, chunks = _called_sites(spark, d)
+    piled, chunks = materialized(piled), materialized(chunks)
     found = candidates.candidates(piled, top, chunks)
     return candidates.enriched(found, piled, reference.base_runs(reference_bases(spark, d)), strict), chunks
 
@@ -762,7 +763,7 @@ def flank_metrics_strict(spark: SparkSession, d: str) -> DataFrame:
     return _flanks(spark, d, True)
 
 
-def _flanks_sql(shift: int) -> str:
+def _flanks_sql(shift: int, sites: str = "select chrom, pos, pos % 3 as skip from base", digits: int = 6) -> str:
     left = f"p.pos >= n.pos - 100 - {shift} and p.pos < n.pos - {shift}"
     right = f"p.pos >= n.pos + n.skip - {shift} and p.pos < n.pos + n.skip + 100 - {shift}"
     tight = f"p.pos >= n.pos - 3 - {shift} and p.pos < n.pos - {shift}", f"p.pos >= n.pos + n.skip - {shift} and p.pos < n.pos + n.skip + 3 - {shift}"
@@ -774,13 +775,13 @@ def _flanks_sql(shift: int) -> str:
 every as (select chrom, pos from base union select chrom, pos - 1 from base),
 pos as (select e.chrom, e.pos, coalesce(b.depth, 0) as depth, coalesce(b.weight, 0) as weight, coalesce(b.gc, 0) as gc, coalesce(b.g, 0) as g, abs(coalesce(b.depth, 0) - coalesce(c.depth, 0)) as delta
   from every e left join base b on e.chrom = b.chrom and e.pos = b.pos left join base c on e.chrom = c.chrom and e.pos + 1 = c.pos),
-n as (select chrom, pos, pos % 3 as skip from base),
+n as ({sites}),
 s as (select n.chrom, n.pos, n.skip, {sums}, coalesce(sum(p.g) filter ({tight[0]}), 0) as l_g, coalesce(sum(p.g) filter ({tight[1]}), 0) as r_g,
   100 - least(greatest(1 - (n.pos - 100 - {shift}), 0), 100) as l_n, 100 - least(greatest(1 - (n.pos + n.skip - {shift}), 0), 100) as r_n
   from n left join pos p on n.chrom = p.chrom and p.pos between n.pos - 300 and n.pos + 300 group by n.chrom, n.pos, n.skip)
-select chrom, pos, skip, round({ratio('l_delta', 'r_delta')}, 6) as read_pos_bias, round({mean('l', 'gc')}, 6) as left_gc, round({mean('r', 'gc')}, 6) as right_gc,
-  round({ratio('(' + mean('l', 'depth') + ')', '(' + mean('r', 'depth') + ')')}, 6) as depth_balance, round(case when l_depth > 0 then l_weight / l_depth else 0 end, 6) as left_quality,
-  round(case when r_depth > 0 then r_weight / r_depth else 0 end, 6) as right_quality, cast(l_g as int) as left_g, cast(r_g as int) as right_g from s
+select chrom, pos, skip, round({ratio('l_delta', 'r_delta')}, {digits}) as read_pos_bias, round({mean('l', 'gc')}, {digits}) as left_gc, round({mean('r', 'gc')}, {digits}) as right_gc,
+  round({ratio('(' + mean('l', 'depth') + ')', '(' + mean('r', 'depth') + ')')}, {digits}) as depth_balance, round(case when l_depth > 0 then l_weight / l_depth else 0 end, {digits}) as left_quality,
+  round(case when r_depth > 0 then r_weight / r_depth else 0 end, {digits}) as right_quality, cast(l_g as int) as left_g, cast(r_g as int) as right_g from s
 """
 
 
@@ -788,6 +789,83 @@ ORACLES["flank_metrics"] = _flanks_sql(0)
 ORACLES["flank_metrics_strict"] = _flanks_sql(100)
 
 
+def _enriched_sql() -> str:
+    """SQL of the called sites with their biases, flanks and runs, from the records' SQL on."""
+    biases = f"""
+, bb as (select chrom, pos, code, least(1.0, {_fisher_sql('f', 'r', '((f + r) // 2)', '((f + r) // 2)', '(1 - 1e-7)')}) as sb,
+  least(1.0, {_fisher_sql('w', '(4 * (f + r))', '(4 * (f + r))', '(4 * (f + r))', '(1 - 1e-7)')}) as bq from l where {{near}}),
+bl as (select chrom, pos, list(sb order by code) as sb, list(bq order by code) as bq from bb group by chrom, pos)"""
+    keys = ", key as (select chrom, pos, case when gt like '%X%' and k1 = 'D' then l1 else 0 end as skip, gt like '%X%' as is_indel from {sites}), near as (select chrom, unnest([pos - 1, pos, pos + skip]) as pos from key)"
+    flanks = _flanks_sql(0, "select chrom, pos, skip from key", 15)[len(_PILED) :]
+    at = flanks.rindex("\nselect chrom, pos, skip, round(")
+    runs = ORACLES["reference_runs"]
+    ones = "[1.0, 1.0, 1.0, 1.0]"
+    role = lambda c, k: f"coalesce({k}.{c}, {ones})"
+    return (
+        _PILED[len(_OBSERVED) :] + keys + _ALLELES + biases.replace("{near}", "exists (select 1 from near where near.chrom = l.chrom and near.pos = l.pos)")
+        + flanks[:at] + ", fl as (" + flanks[at + 1 :] + "), rr as (" + runs + f""")
+, en as (select key.chrom, key.pos, key.skip, key.is_indel, fl.* exclude (chrom, pos, skip), coalesce(least(rr.end_pos - rr.first_pos, 65535), 0) as hrun,
+  [f0, f1, f2, f3] as f, [r0, r1, r2, r3] as r, [w0, w1, w2, w3] as w,
+  case when is_indel then {role('sb', 'bp')} else {role('sb', 'bo')} end as sb, case when is_indel then {role('sb', 'ba')} end as sb1, case when is_indel then {role('sb', 'bo')} end as sb2,
+  case when is_indel then {role('bq', 'bp')} else {role('bq', 'bo')} end as bq, case when is_indel then {role('bq', 'ba')} end as bq1, case when is_indel then {role('bq', 'bo')} end as bq2
+  from key join fl on fl.chrom = key.chrom and fl.pos = key.pos and fl.skip = key.skip left join (select chrom, pos, {', '.join(f'{x}{k} as {x}{k}' for x in 'fr' for k in range(4))}, {', '.join(f'w{k}' for k in range(4))} from piled) pl on pl.chrom = key.chrom and pl.pos = key.pos
+  left join rr on rr.chrom = key.chrom and key.pos >= rr.first_pos and key.pos < rr.end_pos left join bl bp on bp.chrom = key.chrom and bp.pos = key.pos - 1
+  left join bl bo on bo.chrom = key.chrom and bo.pos = key.pos left join bl ba on ba.chrom = key.chrom and ba.pos = key.pos + key.skip)"""
+    )
+
+
+def _vcf_sql() -> str:
+    records = _records_sql()
+    at = records.rindex("\nselect chrom, pos, ref_allele, alt, round(qu, 1)")
+    sample = records[at + 1 :]
+    call = sample[sample.index("concat_ws(") : sample.index(" as sample_call")]
+    four = lambda x: f"cast(printf('%.4e', {x}) as double)"
+    place = lambda allele: f"list_position(['A', 'C', 'G', 'T', 'X', 'Y'], {allele})"
+    low = lambda c: f"{four(f'least(list_min({c}1), list_min({c}2), 1.0)')}"
+    six = lambda c: f"case when is_indel then list_concat(list_transform({c}, lambda x: {four('x')}), [{low(c)}, {low(c)}]) else list_concat(list_transform({c}, lambda x: {four('x')}), [1.0, 1.0]) end"
+    phred = lambda x: f"case when {x} = 0 then 3080 else cast(floor(-10 * log10({x})) as int) end"
+    bias = lambda key, c: [f"case when has_ref then '{key}Ref=' || ({phred(f'{c}[{place('ref')}]')}) end", f"'{key}Alt=' || ({phred(f'{c}[{place('alts[1]')}]')})", f"'{key}Alt2=' || ({phred(f'{c}[{place('alts[2]')}]')})"]
+    five = lambda x: f"printf('%.5f', round({x}, 4))"
+    cent = lambda c, k: f"cast(trunc(round({c}, 4) * {k}) as bigint)"
+    meta = "concat_ws(',', " + ", ".join(f"case when is_indel and k{i} is not null then concat_ws(',', l{i} || k{i}, q{i}, h{i}, o{i}) else '*,*,*,*' end" for i in (1, 2)) + ")"
+    odds = lambda v, a: f"(coalesce({v}[{place(a)}], 0) + 1.0)"
+    x, y = "case when gtx = '1/2' then alts[1] else ref end", "case when gtx = '1/2' then alts[2] else alts[1] end"
+    a, b, c, d = odds("f", x), odds("r", x), odds("f", y), odds("r", y)
+    sor = f"ln(({a} * {d} / ({b} * {c}) + {b} * {c} / ({a} * {d})) * (least({a}, {b}) / greatest({a}, {b})) / (least({c}, {d}) / greatest({c}, {d})))"
+    entries = [
+        "case when alts[1] = 'X' then 'INDEL' end", "'AC=' || case gtx when '1/1' then '2' when '0/1' then '1' else '1,1' end", "'AF=' || case gtx when '1/1' then '1' when '0/1' then '0.5' else '0.500,0.500' end",
+        "'AN=2'", f"'FRAC=' || case when has_ref and gtx = '0/1' then printf('%.3f', round(reads[{place('alts[1]')}] / (reads[{place('alts[1]')}] + reads[{place('ref')}]), 3)) else '1.000' end",
+        *bias("BQFisherPhred", "bq6"), "'BestGT=' || gt", "'DP=' || cast(dp as bigint)", "'DP4=' || array_to_string(reads[1:4], ',')",
+        "'DP8=' || concat_ws(',', " + ", ".join(f"coalesce({v}[{i}], 0)" for i in range(1, 5) for v in "fr") + ")", f"'IndelMeta=' || {meta}", *bias("SBFisherPhred", "sb6"), "'QD=' || printf('%.3f', round(nom * 10 / den, 3))",
+        f"'ReadPosBias=' || {five('read_pos_bias')}", f"'DepthBias=' || {five('depth_balance')}", f"case when not is_indel then 'SOR=' || printf('%.5f', {sor}) end",
+        f"'LeftGCPercent=' || {cent('left_gc', 100)}", f"'RightGCPercent=' || {cent('right_gc', 100)}", f"'LeftQuality=' || {cent('left_quality', 10)}", f"'RightQuality=' || {cent('right_quality', 10)}",
+        "'OptSuboptRatio=' || cast(floor(10 * log10(opt / sub)) as int)", "'LeftG=' || left_g", "'RightG=' || right_g", "'HRun=' || hrun", "'IHDP=' || th", "'ILDP=' || tl",
+    ]
+    return records[:at] + _enriched_sql().replace("{sites}", "j") + f"""
+, sx6 as (select chrom, pos, {six('sb')} as sb6, {six('bq')} as bq6 from en),
+all_of as (select fin.*, en.* exclude (chrom, pos), sb6, bq6, list_contains(cnt, ref) as has_ref from fin join en on en.chrom = fin.chrom and en.pos = fin.pos join sx6 on sx6.chrom = fin.chrom and sx6.pos = fin.pos)
+select chrom, pos, '.' as id, ref_allele, alt, round(qu, 1) as qual, '.' as filter_tag, concat_ws(';', {', '.join(entries)}) as info, 'GT:AD:DP:GQ:PL' as format_keys, {call} as sample_call from all_of
+"""
+
+
+def _lines_sql() -> str:
+    """SQL of the table of 98 columns, from the called sites on."""
+    records = _records_sql()
+    at = records.index("\nrec as (")
+    sites = records[:at].replace("coalesce(th, 0) as th", "pd, coalesce(th, 0) as th").replace("list(q order by g) as qs from rnk", "max(p_d) as pd, list(q order by g) as qs, list(q order by g) as post, list(l order by g) as lik, max(q) filter (i = 1) as q1st, max(q) filter (i = 2) as q2nd from rnk")
+    sites = sites.replace("\n  where gt <> ref || ref and opt > 0 and sub > 0 and", "\n  where gt <> ref || ref and pd > 0 and").rstrip().rstrip(",")
+    e4, dec = lambda x: f"printf('%.4e', {x})", lambda x: f"printf('%.4f', round({x}, 4))"
+    star = lambda x: f"coalesce(cast({x} as varchar), '*')"
+    indel = lambda i: [star(f"case when is_indel then {x} end") for x in (f"l{i} || k{i}", f"q{i}", f"h{i}", f"o{i}")]
+    cells = [
+        "j.chrom", "j.pos", "ref", "case when is_indel then ref else '*' end", *[e4(f"coalesce(post[{i}], 0)") for i in range(1, 17)], "gt", e4("q1st"), e4("q2nd"), e4("pd"), "'0.0000e+00'", "'0'", *indel(1), *indel(2),
+        "cast(coalesce(list_sum(w), 0) as bigint)", *[f"coalesce(w[{k}], 0)" for k in range(1, 5)], *[f"coalesce({x}[{k}], 0)" for k in range(1, 5) for x in "fr"], *[e4(f"lik[{i}]") for i in range(1, 17)],
+        *[star(f"case when {c} is not null then {e4(f'{c}[{k}]')} end") for c in ("sb", "sb1", "sb2", "bq", "bq1", "bq2") for k in range(1, 5)],
+        dec("read_pos_bias"), dec("left_gc"), dec("right_gc"), "left_g", "right_g", dec("depth_balance"), dec("left_quality"), dec("right_quality"), "hrun", "th", "tl",
+    ]
+    return sites + _enriched_sql().replace("{sites}", "j") + f" select j.chrom, j.pos, concat_ws(chr(9), {', '.join(cells)}) as line from j join en on en.chrom = j.chrom and en.pos = j.pos"
+
+
 @query
 def neighbour_biases(spark: SparkSession, d: str) -> DataFrame:
     """Biases at every position as if an indel of its own length began there: before, behind and at it."""
@@ -819,6 +897,9 @@ select chrom, min(pos) as first_pos, max(pos) + 1 as end_pos, ref_code from k gr
 """
 
 
+ORACLES["candidate_vcf"], ORACLES["candidate_lines"] = _vcf_sql(), _lines_sql()
+
+
 @query
 def reference_previous(spark: SparkSession, d: str) -> DataFrame:
     return reference.previous_base(reference_bases(spark, d))
