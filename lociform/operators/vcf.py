@@ -9,6 +9,7 @@ from lociform.functions.codes import ALLELES, GENOTYPES
 from lociform.functions.vcf_math import phred, phred_ratio, qual, sor
 from lociform.operators.candidates import scientific
 from lociform.operators.reference import slices
+from lociform.plans.tables import once
 
 _PLACE = {name: i for i, g in enumerate(GENOTYPES) for name in (g, g[::-1])}
 
@@ -46,7 +47,7 @@ def _written(rows: DataFrame) -> DataFrame:
     """Quality, INFO and sample column of planned records."""
     total = lambda array: F.aggregate(F.transform("counted", lambda a: _at(array, a).cast("double")), F.lit(0.0), lambda s, v: s + v)
     r, first, second = F.col("ref"), F.get("alts", F.lit(0)), F.get("alts", F.lit(1))
-    rows = rows.withColumns({"nom": total("depth"), "den": total("reads"), "het": F.col("gt_text") == "0/1", "both": F.array_contains("counted", r)})
+    rows = once(rows.withColumns({"nom": total("depth"), "den": total("reads"), "het": F.col("gt_text") == "0/1", "both": F.array_contains("counted", r)}))
     qd = F.try_divide(F.col("nom") * 10, F.col("den"))
     share = F.try_divide(_at("reads", first).cast("double"), _at("reads", first) + _at("reads", r))
     whole = lambda c: c.cast("long").cast("string")
@@ -116,7 +117,8 @@ def to_vcf(enriched: DataFrame, chunks: DataFrame) -> DataFrame:
         "chrom", "pos", "ref", "gt", "is_indel", "indels", "f", "r", "total_hq", "total_lq", "hrun", "left_g", "right_g", *[four(m) for m in metrics],
         opt.alias("opt"), sub.alias("sub"), reads.alias("reads"), depth.alias("depth"), biased("sb").alias("sb6"), biased("bqb").alias("bq6"),
         F.transform("flh", lambda x: F.try_divide(rounded(x), opt)).alias("share"),
-    ).where("opt > 0 and sub > 0")
+    )
+    rows = once(rows).where("opt > 0 and sub > 0")
     r, first, second = F.col("ref"), F.substring("gt", 1, 1), F.substring("gt", 2, 1)
     rows = rows.withColumn("a", F.when(first == r, second).otherwise(first)).withColumn("b", second)
     a, b, x, y = F.col("a"), F.col("b"), F.lit("X"), F.lit("Y")
