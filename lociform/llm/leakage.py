@@ -186,8 +186,9 @@ def fingerprint_rows(df: DataFrame, ident: str, text: str, gram: int = GRAM, spa
 def longest_shared(doc: np.ndarray, item: np.ndarray, least: int) -> tuple[int, int, int] | None:
     """The longest run of equal numbers, at least ``least``: its length, first place in doc, first place in item.
 
-    Lengths are halved in between; runs of one length are compared by their hashes, a hit
-    number by number.
+    The first hit is followed as far as it goes; if there is a longer one still, lengths are
+    halved in between. Runs of one length are compared by their hashes, a hit number by
+    number.
     """
 
     def grams(x: np.ndarray, n: int) -> np.ndarray:
@@ -204,6 +205,14 @@ def longest_shared(doc: np.ndarray, item: np.ndarray, least: int) -> tuple[int,
 
     low, high = least, min(len(doc), len(item))
     best = run(low) if low <= high else None
+    if best:  # mostly the first run goes on to the longest one
+        _, i, j = best
+        size = min(len(doc) - i, len(item) - j)
+        low = int(np.append(doc[i : i + size] == item[j : j + size], False).argmin())
+        longer = run(low + 1) if low < high else None
+        if not longer:
+            return run(low) if low > least else best
+        low, best = low + 1, longer
     while best and low < high:
         n = (low + high + 1) // 2
         if longer := run(n):
