@@ -1045,3 +1045,38 @@ def calls_indel_support(spark: SparkSession, d: str) -> DataFrame:
     consensus = pileup.pileup(reads.aligned_bases(r)).select("chrom", "pos", best.alias("ref_code"))
     support = vcf_filter.indel_support(_named_calls(spark, d), "rec_id", r, reference.chunks_of_bases(consensus))
     return support.withColumnRenamed("ident", "rec_id")
+
+
+def _support_sql() -> str:
+    piled = ORACLES["reads_pileup"]
+    at = piled.rindex("\nselect chrom, cast(pos as bigint) as pos, ")
+    chunk = lambda p: f"(({p} - 1) // 4096)"
+    held = lambda p, q: f"case when {q} <= (select z.last from lastk z where z.chrom = t.chrom and z.chunk = {chunk(p)}) then coalesce((select y.base from cons y where y.chrom = t.chrom and y.pos = {q}), 'N') end"
+    return piled[:at] + ", pu as (" + piled[at + 1 :] + f"""),
+cons as (select chrom, pos, case when w0 >= greatest(w1, w2, w3) then 'A' when w1 >= greatest(w2, w3) then 'C' when w2 >= w3 then 'G' else 'T' end as base from pu),
+lastk as (select chrom, chunk, max(pos) as last from (select chrom, pos, {chunk('pos')} as chunk from cons
+  union all select chrom, pos, {chunk('pos')} - 1 from cons where (pos - 1) % 4096 < 300 and pos > 4096) group by chrom, chunk),
+rec0 as (select v.rec_id, s.chrom, v.pos, v.ref_allele, unnest(string_split(v.alt, ',')) as alt from vcf v join seq_dict s on lower(trim(v.chrom)) in (lower(trim(s.chrom)), lower(trim(s.short_name)))),
+rec as (select *, case when length(alt) > length(ref_allele) then 'I' else 'D' end as kind, abs(length(alt) - length(ref_allele)) as n from rec0 where length(alt) <> length(ref_allele) and alt not like '<%'),
+rd as (select read_id, chrom, pos, flag, cigar, nullif(nullif({_CLEAN}, ''), '*') as bases from aligned_reads where pos is not null and regexp_full_match(cigar, '([0-9]+[MIDNSHP=X])+')),
+e0 as (select read_id, unnest(range(1, len(regexp_extract_all(cigar, '[0-9]+')) + 1)) as k, cast(unnest(regexp_extract_all(cigar, '[0-9]+')) as bigint) as len, unnest(regexp_extract_all(cigar, '[MIDNSHP=X]')) as op from rd),
+e as (select *, coalesce(sum(case when op in ('M', 'D') then len end) over earlier, 0) as g, coalesce(sum(case when op in ('M', 'D', 'I', 'S') then len end) over earlier, 0) as r,
+  lead(op) over (partition by read_id order by k) as nop, lead(len) over (partition by read_id order by k) as nlen from e0 window earlier as (partition by read_id order by k rows between unbounded preceding and 1 preceding)),
+f as (select read_id, op as kind, len as n, min(k) as k from e where op in ('I', 'D') group by read_id, op, len having min(k) > 1),
+hit as (select f.*, e.g, e.r, rd.chrom, rd.pos, rd.flag, rd.bases from f join e using (read_id, k) join rd using (read_id)),
+gap as (select hit.*, (select arg_min(x.nlen, x.k) from e x where x.read_id = hit.read_id and x.k + 1 < hit.k and x.op in ('I', 'D') and x.nop = 'M') as lg,
+  (select arg_min(x.len, x.k) from e x where x.read_id = hit.read_id and x.k > hit.k and x.op = 'M' and x.nop in ('I', 'D')) as rg from hit),
+t0 as (select row_number() over () as h, rec.rec_id, rec.alt, rec.chrom, rec.pos, rec.kind, rec.n, least(rec.pos - 1, 15) as ld, cast(gap.r as bigint) as ro, gap.bases, gap.flag, lg, rg,
+  case when lg <= 10 then lg else 10 end as lf, case when rg <= 10 then rg else 10 end as rt from rec join gap on rec.chrom = gap.chrom and rec.kind = gap.kind and rec.n = gap.n and rec.pos = gap.pos + gap.g - 1),
+t as (select *, pos - ld as first_pos, pos + case when kind = 'D' then n else 0 end as last_pos, case when kind = 'I' then n else 0 end as sk, unnest(range(1, 10)) as i from t0),
+b1 as (select h, i, i < lf and ld + 1 - i >= 0 and ro - i between 0 and length(bases) - 1 and ({held('t.first_pos', 't.pos + 1 - t.i')}) <> substr(bases, ro - i + 1, 1) as wl,
+  i < rt and ro + sk + i between 0 and length(bases) - 1 and ({held('t.last_pos', 't.last_pos + 1 + t.i')}) <> substr(bases, ro + sk + i + 1, 1) as wr from t),
+mis as (select h, bool_or(coalesce(wl, false) or coalesce(wr, false)) as wrong from b1 group by h),
+cnt as (select rec_id, alt, count(*) filter ((flag & 16) = 0) as pos_count, count(*) filter ((flag & 16) <> 0) as neg_count, count(*) filter (wrong) as snp_mingle,
+  sum(case when lg <= 10 then 1 else 0 end + case when rg <= 10 then 1 else 0 end) as indel_mingle from t0 join mis using (h) group by rec_id, alt)
+select rec.rec_id, rec.alt, coalesce(pos_count, 0) as pos_count, coalesce(neg_count, 0) as neg_count, coalesce(snp_mingle, 0) as snp_mingle, cast(coalesce(indel_mingle, 0) as bigint) as indel_mingle
+from rec left join cnt on rec.rec_id = cnt.rec_id and rec.alt = cnt.alt
+"""
+
+
+ORACLES["calls_indel_support"] = _support_sql()
