@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociform.plans.tables import fresh
+from lociform.plans.tables import fresh, once
 
 #: Bases of a chunk, and how far each reaches into the next, so that a pattern lies in one chunk.
 CHUNK, OVERLAP = 4096, 300
@@ -22,9 +22,11 @@ def chunks_of_bases(bases: DataFrame) -> DataFrame:
     homes = F.when((at % CHUNK < OVERLAP) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
     rows = bases.groupBy("chrom", "pos").agg(F.first("ref_code").alias("ref_code")).select("chrom", "pos", "ref_code", F.explode(homes).alias("chunk"))
     letter = F.element_at(F.array(*map(F.lit, "ACGT")), F.col("ref_code").cast("int") + 1)
-    some = rows.groupBy("chrom", "chunk").agg(F.map_from_entries(F.collect_list(F.struct((F.col("pos") - F.col("chunk") * CHUNK).cast("int"), letter))).alias("m"))
-    last = F.array_max(F.map_keys("m"))
-    seq = F.array_join(F.transform(F.sequence(F.lit(1), last), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("N"))), "")
+    place = (F.col("pos") - F.col("chunk") * CHUNK).cast("int")
+    some = once(rows.groupBy("chrom", "chunk").agg(F.array_sort(F.collect_list(F.struct(place.alias("k"), letter.alias("b")))).alias("m")))
+    # each base behind the positions without one since the base before it
+    gap = lambda x, i: x["k"] - F.coalesce(F.get("m", i - 1)["k"], F.lit(0)) - 1
+    seq = F.array_join(F.transform("m", lambda x, i: F.concat(F.repeat(F.lit("N"), gap(x, i)), F.coalesce(x["b"], F.lit("N")))), "")
     return some.select("chrom", "chunk", seq.alias("seq"))
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociform.functions.vcf_math import max_depth
-from lociform.operators.intervals import near_points
 from lociform.operators.reads import cigar_ops, clean_bases
 from lociform.operators.reference import slices
 from lociform.operators.wide import number
@@ -107,7 +106,7 @@ def filter_summary(filtered: DataFrame) -> DataFrame:
     return filtered.groupBy("filter_tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-def indel_support(vcf: DataFrame, ident: str, reads: DataFrame, chunks: DataFrame, reach: int = 101, near: int = 10) -> DataFrame:
+def indel_support(vcf: DataFrame, ident: str, reads: DataFrame, chunks: DataFrame, near: int = 10) -> DataFrame:
     """Reads that show each indel record's own indel: ``ident, alt, pos_count, neg_count, snp_mingle, indel_mingle``.
 
     A read counts if its first CIGAR operation of the record's kind and length, which may
@@ -115,7 +114,7 @@ def indel_support(vcf: DataFrame, ident: str, reads: DataFrame, chunks: DataFram
     other indels with at most ``near`` matched bases in between, on either side;
     ``snp_mingle`` reads with a mismatch among the up to nine bases on either side. Every
     ALT gives a row, with zeros where no read shows it; records whose alleles have equal
-    lengths are no indels and give none. A binned join pairs reads and records.
+    lengths are no indels and give none. Reads and records join on position, kind and length.
     """
     alts = vcf.select(F.col(ident).alias("ident"), "chrom", "pos", "ref_allele", F.explode(F.split("alt", ",")).alias("alt"))
     diff = F.length("alt") - F.length("ref_allele")
@@ -135,12 +134,12 @@ def indel_support(vcf: DataFrame, ident: str, reads: DataFrame, chunks: DataFram
     empty = F.expr("cast(array() as array<struct<op: string, len: int, g: int, r: int>>)")
     ops = F.aggregate(cigar_ops(F.col("cigar")), F.struct(F.lit(0).alias("g"), F.lit(0).alias("r"), empty.alias("ops")), add, lambda acc: acc["ops"])
     placed = reads.select("chrom", "pos", "flag", clean_bases(F.col("seq")).alias("bases"), ops.alias("ops")).where("pos is not null and ops is not null")
-    span = F.aggregate("ops", F.lit(0), lambda s, o: s + F.when(o["op"].isin("M", "D", "N"), o["len"]).otherwise(0))
-    spread = placed.select("chrom", F.col("pos").alias("start"), (F.col("pos") + F.greatest(span, F.lit(1))).alias("end"), F.struct("pos", "flag", "bases", "ops").alias("read"))
-    near_reads = near_points(around, spread, reach, {"read": "read"})
+    # a read shows an indel by its first operation of that kind and length, so reads and records meet by equality
+    same = lambda x: F.array_position(F.transform("ops", lambda y: (y["op"] == x["kind"]) & (y["len"] == x["n"])), F.lit(True)) == x["k"]
+    own = F.transform("ops", lambda o, i: F.struct((i + 1).alias("k"), o["op"].alias("kind"), o["len"].alias("n"), (F.col("pos") + o["g"] - 1).alias("pos")))
+    shown = placed.select("chrom", F.struct("pos", "flag", "bases", "ops").alias("read"), F.inline(F.filter(own, lambda x: x["kind"].isin("I", "D") & (x["k"] > 1) & same(x))))
+    hits = around.join(shown, ["chrom", "pos", "kind", "n"]).withColumn("hit", F.element_at(F.col("read.ops"), F.col("k")))
     o, bases = F.col("read.ops"), F.col("read.bases")
-    k = F.array_position(F.transform(o, lambda x: (x["op"] == F.col("kind")) & (x["len"] == F.col("n"))), F.lit(True)).cast("int")
-    hits = near_reads.withColumn("k", k).where("k > 1").withColumn("hit", F.element_at(F.col("read.ops"), F.col("k"))).where("read.pos + hit.g - 1 = pos")
     ix = F.sequence(F.lit(1), F.size(o))
     first = lambda found: F.get(found, F.lit(0))
     before = first(F.filter(ix, lambda i: (i + 1 < F.col("k")) & F.element_at(o, i)["op"].isin("I", "D") & (F.element_at(o, i + 1)["op"] == "M")))
